@@ -12,6 +12,14 @@ from skein.llm.common import documents
 SHARDS = 24
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import quality
+
+    docs = documents(spark, sf_dir)
+    model = quality.fit_grades(docs, quality.label_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
+    return quality.grade_documents(docs, model, wanted=2).select("doc_id", "expected_grade", "tail_probability", "keep")
+
+
 def op3_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.sharding import shard_slots
 
@@ -26,6 +34,12 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.withColumn("position", first).orderBy(F.col("position").asc_nulls_last(), "ord").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.decontam import decontaminate
+
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
