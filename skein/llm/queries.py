@@ -26,6 +26,20 @@ def op3_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_slots(documents(spark, sf_dir), SHARDS)
 
 
+def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import media
+
+    stored = media.store(documents(spark, sf_dir))
+    pages = media.interleave(stored.select("doc_id", "n_bytes", "html"), "html").drop("html")
+    return media.resolve(pages, media.read_back(stored)).drop("digest")
+
+
+def op6_recursive_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.secrets import scan_secrets
+
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.mixing import plan_mix
 
@@ -40,6 +54,12 @@ def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.pii import scan_pii
+
+    return scan_pii(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
