@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from skein.plans.staging import stage as stage  # the operators of this subpackage take it from here
 
 #: One whitespace class for every operator; equal to what ``bytes.split()`` splits on.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of at most so many rows may be broadcast (a few MB); beyond it, joins shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -21,29 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    return spark.read.schema(schema).parquet(path)
-
-
-def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z only, whatever the locale."""
-    return F.translate(col, UPPER, LOWER)
-
-
 def utf8(col: Column) -> Column:
     """Bytes of a text; a null text is empty."""
     return F.coalesce(col, F.lit("")).cast("binary")

@@ -20,12 +20,25 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_documents(docs, model, wanted=2).select("doc_id", "expected_grade", "tail_probability", "keep")
 
 
+def op2_chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.neardup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op3_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.sharding import shard_slots
 
     return shard_slots(documents(spark, sf_dir), SHARDS)
 
 
+def op4_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import brown
+
+    docs = documents(spark, sf_dir)
+    return brown.score(docs, brown.learn(docs))
+
+
 def op5_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm import media
 
