@@ -41,7 +41,9 @@ def seed(hashes: Column, at: Column, mask: tuple[int, ...]) -> Column:
 def seeds(df: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> DataFrame:
     """A row (keep..., h, at, seed) for each window and mask of the rows' ``h``."""
     shortest = min(m[-1] for m in masks) + 1
-    rows = df.where(F.size("h") >= shortest).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - shortest)).alias("at"))
+    # no filter on the size of h: it would be pushed below and hash all words twice
+    starts = F.when(F.size("h") >= shortest, F.sequence(F.lit(0), F.size("h") - shortest))
+    rows = df.select(*keep, "h", F.explode(starts).alias("at"))
     return rows.select(*keep, "h", "at", F.explode(F.array(*[seed(F.col("h"), F.col("at"), m) for m in masks])).alias("seed")).where("seed is not null")
 
 
@@ -63,15 +65,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, item_share: float = 0.6, nea
     rows = docs.select(F.col(key).alias("doc_id"), word_hashes(F.col(text)).alias("h"))
     hits = seeds(rows, [*MASKS, *solid], ["doc_id"]).join(F.broadcast(known) if count <= BROADCAST_ROWS else known, "seed")
 
+    # Up to here all is one generated loop over positions: nothing but a hit leaves it, with the words beside the item
+    # only. Higher-order functions would break the loop, so they wait until hits of one alignment are merged.
     start = F.col("at") - F.col("item_at")  # where the item's first word would stand
     skipped = F.greatest(F.lit(0), -start)
     length = F.least(F.size("item"), F.size("h") - start) - skipped
-    beside = F.zip_with(F.slice("h", start + skipped + 1, length), F.slice("item", skipped + 1, length), lambda a, b: (a == b).cast("int"))
-    run = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("beside") - span + 1)), lambda i: F.aggregate(F.slice("beside", i, span), F.lit(0), lambda n, x: n + x))
+    hits = hits.select("doc_id", "item_id", start.alias("start"), F.size("item").alias("n"), F.slice("h", start + skipped + 1, length).alias("ours"), F.slice("item", skipped + 1, length).alias("theirs"))
+    beside = hits.groupBy("doc_id", "item_id", "start").agg(*[F.first(c).alias(c) for c in ("n", "ours", "theirs")])
+    beside = beside.withColumn("same", F.zip_with("ours", "theirs", lambda a, b: (a == b).cast("int")))
+
+    def agreeing(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda n, x: n + x)
+
+    windows = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("same") - span + 1))
+    run = F.array_max(F.transform(windows, lambda i: agreeing(F.slice("same", i, span))))
     return (
-        hits.select("doc_id", "item_id", F.size("item").alias("n"), beside.alias("beside"))
-        .withColumn("agree", F.aggregate("beside", F.lit(0), lambda n, x: n + x))
-        .where((F.col("agree") >= item_share * F.col("n")) | (F.array_max(run) >= near))
+        beside.withColumn("agree", agreeing(F.col("same")))
+        .where((F.col("agree") >= item_share * F.col("n")) | (run >= near))
         .select("doc_id", "item_id", "agree", (F.col("agree") / F.col("n")).alias("share"))
     )
 
