@@ -230,5 +230,8 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
     base = F.filter("s", lambda x: x["kind"].isin(*BASE))
-    counts = [F.size(F.filter("s", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
