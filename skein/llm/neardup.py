@@ -9,8 +9,8 @@ make a miss of a pair at the threshold unlikely (below 1e-9 in small nodes).
 
 Pairs whose tokens agree in 40 of 64 places are confirmed on the full sets, the likeliest partner of each
 document first and then only pairs that would join two components. Equal sets count once throughout, so
-copies cost nothing. What is still in a large node at the last level is settled by further pivots until
-all of the node are in one component or compared with a pivot of every other.
+copies cost nothing. Nodes that are still large after LEVELS levels are settled once the components are known: their
+documents outside the main component are compared with all of the node, or branch on while they are many.
 
 Cases: texts without words have an empty set and no links; texts of fewer than ``WORDS`` words are one shingle;
 rows that share an id are one document (of its least set) and each gets a row; a null id is linked with
@@ -35,6 +35,9 @@ PLACES = 64
 TREES = 12
 SMALL = 24
 LEVELS = 5
+#: Documents outside a large node's main component that are compared with all of the node.
+OUTSIDE = 256
+DEEPEST = 48
 #: 100 * intersection >= PERCENT * union links two sets.
 PERCENT = 85
 #: Tokens that must agree before full sets are compared: five standard deviations below the threshold.
@@ -174,29 +177,39 @@ def _with_pivots(members: DataFrame, pivots: DataFrame, n_pivots: int) -> DataFr
     return _similar(met.select(pair.alias("m")), "m")
 
 
+def _level(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One level of rows (node, id, tokens): similar pairs found in its nodes, and the members of the large ones."""
+    sizes = stage(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = rows.join(sizes, "node")
+    small = shared.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("id", "tokens")).alias("m"))
+    found, rest = _similar(small, "m"), None
+    large = sizes.where(F.col("n") > SMALL).count()
+    if large:
+        rest = stage(shared.where(F.col("n") > SMALL).select("node", "id", "tokens"), "large")
+        pivots = rest.groupBy("node").agg(F.min_by(F.struct("id", "tokens"), F.xxhash64("id")).alias("x")).select("node", "x.*")
+        found = found.unionByName(_with_pivots(rest, stage(pivots, "pivots"), large))
+    # a pair met in several nodes is one pair
+    return stage(_once(found), "pairs"), rest
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def _branch(members: DataFrame) -> DataFrame:
+    return members.select("id", "tokens", F.explode(_children(F.col("node"), F.col("tokens"))).alias("node"))
+
+
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Similar pairs (a, b, agree) of (id, tokens), each once, and the members of nodes still large at the last level."""
     roots = F.flatten(F.array(*[_children(F.xxhash64(F.lit(f"tree {t}")), F.col("tokens")) for t in range(TREES)]))
-    rows = reps.select("id", "tokens", F.explode(roots).alias("node"))
-    pairs = None
-    for level in range(LEVELS):
-        sizes = stage(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-        shared = rows.join(sizes, "node")
-        small = shared.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("id", "tokens")).alias("m"))
-        found = _similar(small, "m")
-        large = sizes.where(F.col("n") > SMALL).count()
-        if large:
-            rest = stage(shared.where(F.col("n") > SMALL).select("node", "id", "tokens"), "large")
-            pivots = rest.groupBy("node").agg(F.min_by(F.struct("id", "tokens"), F.xxhash64("id")).alias("x")).select("node", "x.*")
-            found = found.unionByName(_with_pivots(rest, stage(pivots, "pivots"), large))
-        # a pair met in several nodes is one pair
-        found = stage(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if not large:
-            return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), None
-        if level + 1 < LEVELS:
-            rows = rest.select("id", "tokens", F.explode(_children(F.col("node"), F.col("tokens"))).alias("node"))
-    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), rest
+    pairs, rest = _level(reps.select("id", "tokens", F.explode(roots).alias("node")))
+    for _ in range(1, LEVELS):
+        if rest is None:
+            break
+        found, rest = _level(_branch(rest))
+        pairs = pairs.unionByName(found)
+    return _once(pairs), rest
 
 
 def full_sets(df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -265,26 +278,57 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def _settle(df: DataFrame, large: DataFrame, links: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
-    """Further pivots for nodes of the last level: in each, the largest component is settled with its pivot; the
-    least document outside it is the next pivot, compared with all of the node, until no one is outside."""
-    done = None
-    while True:
-        at = large.select("node", "id").join(labels, F.col("id") == labels["node"], "left").select(large["node"], "id", F.coalesce("component", "id").alias("c"))
-        by = at.groupBy("node", "c").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-        if done is not None:
-            by = by.join(done, ["node", "least"], "left_anti")
-        spread = by.groupBy("node").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("most"), F.count("*").alias("k")).where("k > 1")
-        nexts = stage(by.join(spread, "node").where("c <> most").groupBy("node").agg(F.min("least").alias("least")), "next")
-        count = nexts.count()
-        if not count:
-            return labels
-        done = nexts if done is None else done.unionByName(nexts)
-        pivots = large.join(F.broadcast(nexts) if count <= BROADCAST_ROWS else nexts, "node").where("id = least").select("node", "id", "tokens")
-        found = _with_pivots(large, stage(pivots, "pivots"), count).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    """What large nodes still hide, given the components so far.
+
+    Members of a node's largest component need no more comparing with each other. Where at most OUTSIDE
+    members are in other components, these are compared with the whole node, which settles it. Other nodes
+    branch on: their documents are mostly unlike each other and soon part. Nodes that don't part within DEEPEST
+    levels are compared in that way whatever their size.
+    """
+    for depth in range(LEVELS, DEEPEST + 1):
+        at = large.join(labels, F.col("id") == labels["node"], "left").select(large["node"], "id", "tokens", F.coalesce("component", "id").alias("c"))
+        by = at.groupBy("node", "c").agg(F.count("*").alias("n"))
+        spread = by.groupBy("node").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("most"), (F.sum("n") - F.max("n")).alias("out")).where("out > 0")
+        spread = stage(spread, "spread")
+        nodes, ready = spread.agg(F.count("*"), F.count_if((F.col("out") <= OUTSIDE) | F.lit(depth == DEEPEST))).first()
+        if not nodes:
+            break
+        at = at.join(F.broadcast(spread) if nodes <= BROADCAST_ROWS else spread, "node")
+        now = (F.col("out") <= OUTSIDE) | F.lit(depth == DEEPEST)
+        outside = at.where(now & (F.col("c") != F.col("most"))).groupBy("node", F.pmod(F.xxhash64("id"), F.floor(F.col("out") / 32) + 1).alias("part"))
+        outside = stage(outside.agg(F.collect_list(F.struct("id", "tokens")).alias("others")), "outside")
+        found = stage(_once(_against(at.where(now).select("node", "id", "tokens"), outside, ready)), "pairs")
+        large = None
+        if ready < nodes:
+            more, large = _level(_branch(at.where(~now).select("node", "id", "tokens")))
+            found = found.unionByName(more)
         found = stage(_across(found, labels), "candidates")
-        more = confirmed(found, full_sets(df, found.select(F.explode(F.array("a", "b")).alias("id")), key, text))
-        links = links.unionByName(more)
+        links = links.unionByName(confirmed(found, full_sets(df, found.select(F.explode(F.array("a", "b")).alias("id")), key, text)))
         labels = stage(components(links, "a", "b"), "labels")
+        if large is None:
+            break
+    return labels
+
+
+def _against(members: DataFrame, outside: DataFrame, nodes: int) -> DataFrame:
+    """Similar pairs of each member with each document of its node's lists of others."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n = [], [], []
+            for own, mine, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                theirs = np.frombuffer(b"".join(x["tokens"] for x in others), np.uint32).reshape(-1, PLACES)
+                same = (theirs == np.frombuffer(mine, np.uint32)).sum(axis=1)
+                for j in np.flatnonzero(same >= AGREE):
+                    other = others[j]["id"]
+                    if other != own:
+                        a.append(min(own, other))
+                        b.append(max(own, other))
+                        n.append(int(same[j]))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], ["a", "b", "agree"])
+
+    met = members.join(F.broadcast(outside) if nodes <= 1000 else outside, "node")
+    return met.select("id", "tokens", "others").mapInArrow(compared, "a long, b long, agree int")
 
 
 def first_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
