@@ -53,6 +53,12 @@ def op6_recursive_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op7_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm.suffixes import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.mixing import plan_mix
 
