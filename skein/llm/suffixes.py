@@ -33,8 +33,8 @@ from skein.llm.common import stage, utf8
 LENGTH = 400
 SEED = 64
 HOT = 4000
-ITEMS_PER_PART = 15_000
-RUN_BYTES = 32 << 20
+ITEMS_PER_PART = 4_000
+RUN_BYTES = 16 << 20
 
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
@@ -85,7 +85,8 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         place = (least & _U((1 << _PLACE) - 1)).astype(np.int64)
         turn = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([turn[1:] - 1, [len(place) - 1]])
-        parts.append((seeds[place[turn]], place[turn] + begin, turn + begin, last + begin))
+        # the least of many hashes is small; hashed again, anchors spread evenly over the parts
+        parts.append((_mix(seeds[place[turn]] + _U(_BASE)), place[turn] + begin, turn + begin, last + begin))
     if not parts:
         return (np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
