@@ -9,11 +9,37 @@ a checksum.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.plans.staging import stage
 
+#: Up to so many counted edges (a few MB) are contracted in one task; more take the distributed rounds.
+ONE_TASK = 200_000
+
+
+def _union_find(links: DataFrame) -> DataFrame:
+    def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = root[y]
+                x = y
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = find(u), find(v)
+                root[max(u, v)] = min(u, v)
+        nodes = list(root)
+        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "component"])
+
+    return links.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(contracted, "node long, component long")
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round over edges (u, v) with u > v; gives edges of the same form."""
@@ -38,6 +64,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct()
     pairs = stage(pairs, "edges")
+    if pairs.count() <= ONE_TASK and dict(pairs.dtypes)["a"] in ("int", "bigint"):
+        return _union_find(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     links = pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = stage(links, "links")
     before = None

@@ -1,0 +1 @@
+"""Incremental sinks; graphs themselves are batch tables."""
