@@ -7,10 +7,12 @@ together with probability s a child. Nodes of at most ``SMALL`` documents compar
 larger ones compare every document with one of them, the node's pivot, and branch on. Twelve independent trees
 make a miss of a pair at the threshold unlikely (below 1e-9 in small nodes).
 
-Pairs whose tokens agree in 40 of 64 places are confirmed on the full sets, the likeliest partner of each
-document first and then only pairs that would join two components. Equal sets count once throughout, so
-copies cost nothing. Nodes that are still large after LEVELS levels are settled once the components are known: their
-documents outside the main component are compared with all of the node, or branch on while they are many.
+Pairs whose tokens agree in 40 of 64 places join documents to clusters. Nodes that are still large after LEVELS
+levels are settled once clusters are known: their documents outside the main cluster are compared with all of the
+node, or branch on while they are many. Links are confirmed on the full sets: a cluster of bounded size within one task,
+which compares its documents unless they are linked already; a larger one by its candidate pairs, the likeliest
+partner of each document first, then the pairs across components, and then what its large nodes still hide. Equal sets
+count once throughout, so copies cost nothing.
 
 Cases: texts without words have an empty set and no links; texts of fewer than ``WORDS`` words are one shingle;
 rows that share an id are one document (of its least set) and each gets a row; a null id is linked with
@@ -19,10 +21,11 @@ nothing; an empty table stays empty; extra columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,10 @@ WORDS = 5
 PLACES = 64
 TREES = 12
 SMALL = 24
-LEVELS = 5
+LEVELS = 1
+#: A cluster of similar documents of at most so many documents and shingles is compared in one task.
+CLUSTER_DOCUMENTS = 4000
+CLUSTER_SHINGLES = 4 << 20
 #: Documents outside a large node's main component that are compared with all of the node.
 OUTSIDE = 256
 DEEPEST = 48
@@ -177,10 +183,13 @@ def _with_pivots(members: DataFrame, pivots: DataFrame, n_pivots: int) -> DataFr
     return _similar(met.select(pair.alias("m")), "m")
 
 
-def _level(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """One level of rows (node, id, tokens): similar pairs found in its nodes, and the members of the large ones."""
+def _level(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """One level of rows (node, id): similar pairs found in its nodes, and the members of the large ones.
+
+    Most nodes hold one document, so tokens join only what shares a node.
+    """
     sizes = stage(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = rows.join(sizes, "node")
+    shared = stage(rows.join(sizes, "node"), "members").join(reps.select("id", "tokens"), "id")
     small = shared.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("id", "tokens")).alias("m"))
     found, rest = _similar(small, "m"), None
     large = sizes.where(F.col("n") > SMALL).count()
@@ -197,17 +206,17 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 
 def _branch(members: DataFrame) -> DataFrame:
-    return members.select("id", "tokens", F.explode(_children(F.col("node"), F.col("tokens"))).alias("node"))
+    return members.select("id", F.explode(_children(F.col("node"), F.col("tokens"))).alias("node"))
 
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Similar pairs (a, b, agree) of (id, tokens), each once, and the members of nodes still large at the last level."""
     roots = F.flatten(F.array(*[_children(F.xxhash64(F.lit(f"tree {t}")), F.col("tokens")) for t in range(TREES)]))
-    pairs, rest = _level(reps.select("id", "tokens", F.explode(roots).alias("node")))
+    pairs, rest = _level(reps.select("id", F.explode(roots).alias("node")), reps)
     for _ in range(1, LEVELS):
         if rest is None:
             break
-        found, rest = _level(_branch(rest))
+        found, rest = _level(_branch(rest), reps)
         pairs = pairs.unionByName(found)
     return _once(pairs), rest
 
@@ -256,36 +265,96 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = stage(sketches(df, key, text), "sketches")
     classes = stage(rows.where("mark is not null and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
     reps = rows.where("mark is not null").join(classes, (F.col("doc_id") == F.col("rep")) & (rows["mark"] == classes["mark"]), "left_semi")
-    reps = stage(reps.select(F.col("doc_id").alias("id"), "tokens").distinct(), "reps")
+    reps = stage(reps.select(F.col("doc_id").alias("id"), "n_shingles", "tokens").distinct(), "reps")
 
     pairs, large = candidates(reps)
     pairs = stage(pairs, "candidates")
+    clusters = _clusters(pairs, large, reps)
+    sizes = clusters.join(reps.select("id", "n_shingles"), F.col("node") == F.col("id")).groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    fits = (F.col("n") <= CLUSTER_DOCUMENTS) & (F.col("shingles") <= CLUSTER_SHINGLES)
+    of = stage(clusters.join(sizes.withColumn("fits", fits), "component").select(F.col("node").alias("id"), "component", "fits"), "clusters")
+    links = stage(_within_clusters(df, of.where("fits"), key, text), "links")
+    big = of.where("not fits").select("id")
+    if not big.isEmpty():
+        own = pairs.join(big.withColumnRenamed("id", "a"), "a", "left_semi")
+        rest = None if large is None else stage(large.join(big, "id", "left_semi").select("node", "id", "tokens"), "large")
+        links = links.unionByName(_large_clusters(df, own, rest, reps, key, text))
+    labels = stage(components(links, "a", "b"), "labels")
+
+    met = rows.join(classes, "mark", "left").select("doc_id", "n_shingles", "rep")
+    met = met.join(labels, F.col("rep") == F.col("node"), "left")
+    component = F.coalesce("component", "rep", "doc_id")
+    return met.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _within_clusters(df: DataFrame, of: DataFrame, key: str, text: str) -> DataFrame:
+    """Links that join all linked documents of each cluster, from their full sets; each set travels once."""
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, texts in _chunks(whole, 2):
+                sets = shingle_sets(texts)
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], ["component", "id", "shingles"])
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        ids, sets = group["id"].tolist(), [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        n = len(ids)
+        place = np.frombuffer(b"".join(tokens(x) for x in sets), np.uint32).reshape(n, PLACES)
+        sizes = np.array([len(x) for x in sets])
+        root, out = np.arange(n), []
+        for least, below in ((PLACES - 6, PLACES + 1), (AGREE, PLACES - 6)):  # likely links first: they spare comparing the others
+            for i in range(n - 1):
+                apart = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+                same = (place[apart] == place[i]).sum(axis=1)
+                near = (same >= least) & (same < below) & (100 * np.minimum(sizes[apart], sizes[i]) >= PERCENT * np.maximum(sizes[apart], sizes[i]))
+                for j in apart[near].tolist():
+                    if root[i] != root[j]:
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                            out.append((ids[i], ids[j]))
+                            root[root == root[j]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    few = of.count() <= BROADCAST_ROWS
+    of = of.select("id", "component")
+    rows = df.select(F.col(key).alias("id"), utf8(F.col(text)).alias("text")).join(F.broadcast(of) if few else of, "id")
+    sets = rows.select("component", "id", "text").mapInArrow(built, "component long, id long, shingles binary")
+    return sets.groupBy("component").applyInPandas(linked, "a long, b long")
+
+
+def _large_clusters(df: DataFrame, pairs: DataFrame, large: DataFrame | None, reps: DataFrame, key: str, text: str) -> DataFrame:
+    """Links of clusters that no task should hold, pair by pair."""
+    pairs = stage(pairs, "candidates")
     sets = full_sets(df, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
     links = confirmed(best, sets)
     labels = stage(components(links, "a", "b"), "labels")
-    more = confirmed(_across(pairs, labels), sets)
-    links = links.unionByName(more)
-    labels = stage(components(links, "a", "b"), "labels")
-    if large is not None:
-        labels = _settle(df, large, links, labels, key, text)
+    links = links.unionByName(confirmed(_across(pairs, labels), sets))
 
-    # a class is a node, and so is its every member: a shared id may bring classes together
-    of = rows.join(classes, "mark", "left").select("doc_id", "n_shingles", F.col("rep"))
-    of = of.join(labels, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return of.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    def confirm(found: DataFrame) -> DataFrame:
+        return confirmed(found, full_sets(df, found.select(F.explode(F.array("a", "b")).alias("id")), key, text))
+
+    return _settle(large, reps, links, confirm)[0]
+
+
+def _clusters(pairs: DataFrame, large: DataFrame | None, reps: DataFrame) -> DataFrame:
+    """(node, component) of documents joined by similar tokens, those that large nodes hide included."""
+    return _settle(large, reps, pairs.select("a", "b"), lambda found: found.select("a", "b"))[1]
 
 
-def _settle(df: DataFrame, large: DataFrame, links: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
-    """What large nodes still hide, given the components so far.
+def _settle(large: DataFrame | None, reps: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Links and components after what large nodes still hide is compared and confirmed.
 
     Members of a node's largest component need no more comparing with each other. Where at most OUTSIDE
     members are in other components, these are compared with the whole node, which settles it. Other nodes
     branch on: their documents are mostly unlike each other and soon part. Nodes that don't part within DEEPEST
     levels are compared in that way whatever their size.
     """
+    labels = stage(components(links, "a", "b"), "labels")
     for depth in range(LEVELS, DEEPEST + 1):
+        if large is None:
+            break
         at = large.join(labels, F.col("id") == labels["node"], "left").select(large["node"], "id", "tokens", F.coalesce("component", "id").alias("c"))
         by = at.groupBy("node", "c").agg(F.count("*").alias("n"))
         spread = by.groupBy("node").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("most"), (F.sum("n") - F.max("n")).alias("out")).where("out > 0")
@@ -297,35 +366,33 @@ def _settle(df: DataFrame, large: DataFrame, links: DataFrame, labels: DataFrame
         now = (F.col("out") <= OUTSIDE) | F.lit(depth == DEEPEST)
         outside = at.where(now & (F.col("c") != F.col("most"))).groupBy("node", F.pmod(F.xxhash64("id"), F.floor(F.col("out") / 32) + 1).alias("part"))
         outside = stage(outside.agg(F.collect_list(F.struct("id", "tokens")).alias("others")), "outside")
-        found = stage(_once(_against(at.where(now).select("node", "id", "tokens"), outside, ready)), "pairs")
+        found = _against(at.where(now).select("node", "id", "tokens"), outside, ready)
         large = None
         if ready < nodes:
-            more, large = _level(_branch(at.where(~now).select("node", "id", "tokens")))
+            more, large = _level(_branch(at.where(~now).select("node", "id", "tokens")), reps)
             found = found.unionByName(more)
-        found = stage(_across(found, labels), "candidates")
-        links = links.unionByName(confirmed(found, full_sets(df, found.select(F.explode(F.array("a", "b")).alias("id")), key, text)))
+        found = stage(_across(_once(found), labels), "candidates")
+        links = links.unionByName(confirm(found))
         labels = stage(components(links, "a", "b"), "labels")
-        if large is None:
-            break
-    return labels
+    return links, labels
 
 
 def _against(members: DataFrame, outside: DataFrame, nodes: int) -> DataFrame:
     """Similar pairs of each member with each document of its node's lists of others."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n = [], [], []
-            for own, mine, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                theirs = np.frombuffer(b"".join(x["tokens"] for x in others), np.uint32).reshape(-1, PLACES)
-                same = (theirs == np.frombuffer(mine, np.uint32)).sum(axis=1)
-                for j in np.flatnonzero(same >= AGREE):
-                    other = others[j]["id"]
-                    if other != own:
-                        a.append(min(own, other))
-                        b.append(max(own, other))
-                        n.append(int(same[j]))
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], ["a", "b", "agree"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                part = whole.slice(at, 100)
+                ids, mine, lists = part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2)
+                sizes = lists.value_lengths().to_numpy()
+                others = lists.flatten()
+                theirs = np.frombuffer(b"".join(others.field("tokens").to_pylist()), np.uint32).reshape(-1, PLACES)
+                own = np.repeat(np.arange(len(ids)), sizes)
+                same = (theirs == np.frombuffer(b"".join(mine), np.uint32).reshape(-1, PLACES)[own]).sum(axis=1)
+                a, b = ids[own], others.field("id").to_numpy()
+                near = (same >= AGREE) & (a != b)
+                yield pa.record_batch([pa.array(np.minimum(a, b)[near]), pa.array(np.maximum(a, b)[near]), pa.array(same[near].astype(np.int32))], ["a", "b", "agree"])
 
     met = members.join(F.broadcast(outside) if nodes <= 1000 else outside, "node")
     return met.select("id", "tokens", "others").mapInArrow(compared, "a long, b long, agree int")

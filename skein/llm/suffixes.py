@@ -8,8 +8,8 @@ it to the parts of a fixed split of the hashed seeds. A part merges its runs wit
 prefixes and never compares their bytes again. The merged common prefixes tell how far each suffix may agree with
 any other; windows within that reach are compared by content, and those that occur twice are covered.
 
-Seeds that occur more than ``HOT`` times are not gathered: their windows are counted by content hash in a
-grouping with map-side combining. Copies of a whole text are one text that covers itself.
+Seeds that occur more than ``HOT`` times are not gathered: each unit of texts lists its windows by content hash, equal ones
+in one row, rows are counted by hash, and those that occur twice go back to their unit to be joined to spans. Copies of a whole text are one text that covers itself.
 
 Cases: a null or empty text has nothing to remove; texts shorter than LENGTH neither; matches never cross
 documents; a string that repeats inside one document counts, overlapping itself or not; equal rows are
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ SEED = 64
 HOT = 4000
 ITEMS_PER_PART = 4_000
 RUN_BYTES = 16 << 20
+#: Windows of hot seeds in a unit.
+UNIT_WINDOWS = 1 << 20
 
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
@@ -242,13 +245,30 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return _texts(df, key, text).mapInArrow(scanned, schema)
 
 
+def _unit(owners: list[bytes], of: list[np.ndarray], starts: list[np.ndarray], windows: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each distinct window of a unit, with the owners and starts of all its occurrences."""
+    name = uuid.uuid4().hex
+    window, who, start = np.concatenate(windows), np.concatenate(of), np.concatenate(starts)
+    order = np.argsort(window, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], window[order][1:] != window[order][:-1]]))
+    marks = np.frombuffer(b"".join(owners), np.uint8).reshape(-1, 16)
+    groups = np.split(order, cut[1:])
+    n = len(groups)
+    return pa.record_batch([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([name] * n), pa.array(window[order][cut].view(np.int64)), pa.array([len(x) for x in groups], pa.int64()), pa.array([marks[who[x]].tobytes() for x in groups], pa.binary()), pa.array([start[x].astype(np.int32).tobytes() for x in groups], pa.binary())], schema=_CUT)
+
+
+_CUT = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("unit", pa.string()), ("window", pa.int64()), ("times", pa.int64()), ("owners", pa.binary()), ("starts", pa.binary())])
+
+
 def _sorted_runs(texts: DataFrame, parts: int) -> DataFrame:
-    """(part, run) and, for hot seeds, (owner, start, window): from (mark, text, hits)."""
+    """(part, run) and, for hot seeds, (unit, window, times, owners, starts): from (mark, text, hits)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: list[tuple[bytes, bytes, bytes, int, int]] = []
         size, done = 0, set()
-        schema = pa.schema([("part", pa.int32()), ("run", pa.binary()), ("owner", pa.binary()), ("start", pa.int32()), ("window", pa.int64())])
+        owners: list[bytes] = []
+        hot: list[list[np.ndarray]] = [[], [], []]
+        n_hot = 0
 
         def runs() -> Iterator[pa.RecordBatch]:
             items.sort(key=lambda x: x[:2])
@@ -257,7 +277,7 @@ def _sorted_runs(texts: DataFrame, parts: int) -> DataFrame:
                 part, j = int.from_bytes(items[i][0][:4], "big") * parts >> 32, i
                 while j < len(items) and int.from_bytes(items[j][0][:4], "big") * parts >> 32 == part:
                     j += 1
-                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([front_code(items[i:j])], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], schema=schema)
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([front_code(items[i:j])], pa.binary()), *[pa.nulls(1, f.type) for f in list(_CUT)[2:]]], schema=_CUT)
                 i = j
             items.clear()
 
@@ -271,19 +291,40 @@ def _sorted_runs(texts: DataFrame, parts: int) -> DataFrame:
                 for h in hits.as_py():
                     seed, place, lo, hi = h["seed"], h["place"], h["lo"], h["hi"]
                     if h["hot"]:
-                        sums = _sums(np.frombuffer(text, np.uint8)) if sums is None else sums
+                        if sums is None:
+                            sums = _sums(np.frombuffer(text, np.uint8))
+                            owners.append(mark)
                         starts = np.arange(lo, hi + 1)
-                        n = len(starts)
-                        yield pa.record_batch([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([mark] * n, pa.binary()), pa.array(starts.astype(np.int32)), pa.array(_hashes(sums, starts, LENGTH).view(np.int64))], schema=schema)
+                        for kept, new in zip(hot, (np.full(len(starts), len(owners) - 1), starts, _hashes(sums, starts, LENGTH)), strict=True):
+                            kept.append(new)
+                        n_hot += len(starts)
                     else:
                         items.append(((seed & (1 << 64) - 1).to_bytes(8, "big") + text[place : hi + LENGTH], text[lo:place], mark, lo, hi))
                         size += hi + LENGTH - lo
                 if size > RUN_BYTES:
                     yield from runs()
                     size = 0
+                if n_hot > UNIT_WINDOWS:
+                    yield _unit(owners, *hot)
+                    owners, hot, n_hot = [], [[], [], []], 0
         yield from runs()
+        if n_hot:
+            yield _unit(owners, *hot)
+
+    return texts.mapInArrow(cut, "part int, run binary, unit string, window long, times long, owners binary, starts binary")
+
 
-    return texts.mapInArrow(cut, "part int, run binary, owner binary, start int, window long")
+def _unit_spans(group: pd.DataFrame) -> pd.DataFrame:
+    """Spans of a unit's repeated windows: adjoining starts of one owner make one."""
+    owner = np.frombuffer(b"".join(group["owners"]), np.uint8).reshape(-1, 16)
+    start = np.frombuffer(b"".join(group["starts"]), np.int32)
+    who, of = np.unique(owner, axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    order = np.lexsort((start, of))
+    of, start = of[order], start[order]
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(start) != 1)]))
+    last = np.concatenate([cut[1:] - 1, [len(start) - 1]])
+    return pd.DataFrame({"mark": [who[i].tobytes() for i in of[cut]], "start": start[cut], "end": start[last] + LENGTH})
 
 
 def covered(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -307,9 +348,10 @@ def covered(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
         return pd.DataFrame(covered_by([Run(x) for x in group["run"]]), columns=["mark", "start", "end"])
 
     spans = cut.where("part is not null").select("part", "run").groupBy("part").applyInPandas(merged, "mark binary, start int, end int")
-    hot = cut.where("part is null").select("owner", "start", "window")
-    twice = stage(hot.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "windows")
-    spans = spans.unionByName(hot.join(twice, "window").select(F.col("owner").alias("mark"), "start", (F.col("start") + LENGTH).alias("end")))
+    hot = cut.where("part is null")
+    twice = stage(hot.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window"), "windows")
+    back = hot.select("unit", "window", "owners", "starts").join(twice, "window").select("unit", "owners", "starts")
+    spans = spans.unionByName(back.groupBy("unit").applyInPandas(_unit_spans, "mark binary, start int, end int"))
     return stage(spans.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
 
 
