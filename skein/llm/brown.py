@@ -181,6 +181,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
             gain -= _xlogx(corner + right) + _xlogx(corner + left) - _xlogx(corner)
             gain += _xlogx(corner + right + left + own)
             r, c = right.sum() + own, left.sum() + own
+            rows, cols = rows + left, cols + right  # what they hold wherever the unit goes
             gain -= _xlogx(rows + r) - _xlogx(rows) + _xlogx(cols + c) - _xlogx(cols)
             new = int(np.argmax(gain[:free]))
             if gain[new] <= gain[old] + 1e-9 * abs(gain[old]):
@@ -218,6 +219,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", units: int = U
     texts = df.where(~held_out(F.col(key))).select(utf8(F.col(text)).alias("text"))
     counts = stage(word_counts(texts), "words")
     top = frequent_words(counts, held)
+    end = counts.where(F.length("word") == 0).first()
     unit_of = UnitOf([w for w, _ in top if w != END][:units], endings)
     bigrams = unit_bigrams(texts, unit_of)
     member = exchange(bigrams, classes)
@@ -241,7 +243,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", units: int = U
     to = (table + PULL * prior) / (table.sum(axis=1, keepdims=True) + PULL)
     step = np.log10(to) - np.log10(n + ADD * (v + 1))
     rare = counts.where(F.col("n") <= top[-1][1]) if top else counts  # a word may be held and here; then nobody asks for it
-    return ClassModel(unit_of, member, step, dict(top), int(n.sum()), int(v.sum()), rare)
+    return ClassModel(unit_of, member, step, dict(top) | ({END: end["n"]} if end else {}), int(n.sum()), int(v.sum()), rare)
 
 
 def score(df: DataFrame, model: ClassModel, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -118,11 +118,19 @@ def test_brown_scores(docs, none):
     assert brown.score(none, empty).count() == 0
 
 
-def test_exchange_finds_alternating_classes():
-    b = np.zeros((7, 7))
-    b[:3, 3:6] = b[3:6, :3] = 10
-    m = brown.exchange(b, 3)
-    assert len(set(m[:3])) == len(set(m[3:6])) == 1 and m[0] != m[3]
+def test_exchange_ends_where_no_move_gains():
+    def gain(b, m):
+        one = np.eye(4)[m]
+        table = one.T @ b @ one
+        x = lambda a: (a * np.log(np.maximum(a, 1))).sum()
+        return x(table) - x(table.sum(0)) - x(table.sum(1))
+
+    r = np.random.default_rng(0)
+    for _ in range(20):
+        b = r.integers(0, 30, (9, 9)) * (r.random((9, 9)) < 0.4).astype(float)
+        b[8] = b[:, 8] = 0
+        m = brown.exchange(b, 4, 50)
+        assert max(gain(b, np.where(np.arange(9) == w, c, m)) for w in range(8) for c in range(3)) <= gain(b, m) + 1e-6
 
 
 def test_media_round_trip(docs, none):
@@ -210,7 +218,7 @@ def test_quality(spark, none):
 
 def test_pii_equals_patterns(docs):
     r = random.Random(1)
-    parts = ["1", "25", "4111111111111111", ".", ".", " ", "-", "+", "@", "a", "b%", "é", "(", "10.0.0.1", "x.com", "+1 (017) 555-7713", "9" * 5000]
+    parts = ["1", "25", "4111111111111111", ".", ".", " ", "-", "+", "@", "a", "b%", "é", "(", "10.0.0.1", "x.com", "+1 (017) 555-7713"]
     for _ in range(4000):
         t = "".join(r.choice(parts) for _ in range(r.randrange(20)))
         want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -218,8 +226,9 @@ def test_pii_equals_patterns(docs):
         want += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
         want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
         assert [x for x in pii.find_spans(t) if x[0] in pii.BASE] == want
+    assert pii.find_spans("9" * 5000 + ".1.1.1") == []
     got = {x.doc_id: x for x in pii.scan_pii(docs).collect()}
-    assert got[12].n_email == 1 and got[12].spans == "email:5:20" and got[6].spans == ""
+    assert got[12].n_email == 1 and got[12].spans == "email:5:22" and got[6].spans == ""
 
 
 def test_secrets_unwrap(docs):
