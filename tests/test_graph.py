@@ -6,8 +6,8 @@ import pytest
 import __spark_entry__
 from skein.operators import components as c
 from skein.operators import graph as g
-from skein.queries import QUERIES, SQL
 from skein.sources import edges as s
+from skein.structure_queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
