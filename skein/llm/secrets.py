@@ -1,8 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
-A text is scanned for secrets; then every URL-escaped, Unicode-escaped and base64 token in it is unwrapped, and
-compressed bytes inside are inflated, which gives further layers that are scanned and unwrapped in turn,
-until no layer is new. A layer met before (by its digest) is not entered again, so cycles end. Every character of
+A text is scanned for secrets; then it is URL-unescaped and Unicode-unescaped as a whole, every base64 token in it is
+unwrapped, and compressed bytes inside are inflated, which gives further layers that are scanned and unwrapped in turn,
+until no layer is new. An unescaped layer reports what its parents didn't show at the same span. A layer met before (by its digest) is not entered again, so cycles end. Every character of
 a layer knows which span of the root text it comes from, so each finding is mapped back.
 
 Kinds: assign, access, hex in the root (the base, by fixed rules); the same after the path of
@@ -66,6 +66,7 @@ class Layer:
 
     def __init__(self, text: str, path: str, starts, ends) -> None:
         self.text, self.path, self.starts, self.ends = text, path, starts, ends
+        self.found: set[tuple[str, int, int]] = set()  # base kinds met here or in a layer it came from, by spans of the root
 
     def root(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
@@ -78,25 +79,12 @@ class Layer:
         return f"{self.path}.{kind}" if self.path else kind
 
 
-def _tokens(text: str, marks: re.Pattern) -> list[tuple[int, int]]:
-    """Maximal runs without spaces and quotes around the marks."""
-    out, end = [], 0
-    for m in marks.finditer(text):
-        if m.start() < end:
-            continue
-        start, stop = m.start(), m.end()
-        while start > end and not (text[start - 1].isspace() or text[start - 1] in "\"'"):
-            start -= 1
-        while stop < len(text) and not (text[stop].isspace() or text[stop] in "\"'"):
-            stop += 1
-        out.append((start, stop))
-        end = stop
-    return out
-
-
-def _unescape(layer: Layer, start: int, end: int, marks: re.Pattern, name: str) -> Layer | None:
-    """A child whose characters keep their own spans; runs of escaped bytes are read as UTF-8."""
-    text, at = layer.text, start
+def _unescape(layer: Layer, marks: re.Pattern, name: str) -> Layer | None:
+    """The whole layer unescaped: every character keeps its own span, so keys outside an escaped run stay beside it.
+
+    Runs of escaped bytes are read as UTF-8.
+    """
+    text, at = layer.text, 0
     out: list[str] = []
     froms: list[int] = []
     tos: list[int] = []
@@ -107,20 +95,37 @@ def _unescape(layer: Layer, start: int, end: int, marks: re.Pattern, name: str)
         froms.extend([s] * len(chars))
         tos.extend([e] * len(chars))
 
-    while at < end:
-        m = marks.match(text, at, end)
-        if not m:
-            put(text[at], at, at + 1)
-            at += 1
-        elif m[0].startswith("\\u"):
-            put(chr(int(m[0][2:], 16)), at, m.end())
-            at = m.end()
+    def keep(s: int, e: int) -> None:
+        out.append(text[s:e])
+        if layer.starts is None:
+            froms.extend(range(s, e))
+            tos.extend(range(s + 1, e + 1))
+        elif isinstance(layer.starts, int):
+            froms.extend([layer.starts] * (e - s))
+            tos.extend([layer.ends] * (e - s))
+        else:
+            froms.extend(layer.starts[s:e])
+            tos.extend(layer.ends[s:e])
+
+    while m := marks.search(text, at):
+        keep(at, m.start())
+        at = m.start()
+        if m[0].startswith("\\u"):
+            # two halves of a surrogate pair are one character of one span
+            pair = marks.match(text, m.end()) if 0xD800 <= int(m[0][2:], 16) < 0xDC00 else None
+            if pair and pair[0].startswith("\\u") and 0xDC00 <= int(pair[0][2:], 16) < 0xE000:
+                put(chr(0x10000 + (int(m[0][2:], 16) - 0xD800 << 10) + int(pair[0][2:], 16) - 0xDC00), at, pair.end())
+                at = pair.end()
+            else:
+                c = chr(int(m[0][2:], 16))
+                put("\ufffd" if "\ud800" <= c <= "\udfff" else c, at, m.end())
+                at = m.end()
         else:
             run, first = bytearray(), at
             while m and not m[0].startswith("\\u"):
                 run.append(int(m[0][-2:], 16))
                 at = m.end()
-                m = marks.match(text, at, end)
+                m = marks.match(text, at)
             try:
                 width = (at - first) // len(run)
                 for c, size in ((c, len(c.encode())) for c in run.decode()):
@@ -128,14 +133,10 @@ def _unescape(layer: Layer, start: int, end: int, marks: re.Pattern, name: str)
                     first += size * width
             except UnicodeDecodeError:
                 put(run.decode("latin-1"), first, at)
-    new = "".join(out)
-    new = new.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in new) else new
-    if new == text[start:end]:
+    if not out:
         return None
-    if len(new) != len(froms):  # surrogate pairs became one character
-        s, e = layer.root(start, end)
-        return Layer(new, layer.name(name), s, e)
-    return Layer(new, layer.name(name), froms, tos)
+    keep(at, len(text))
+    return Layer("".join(out), layer.name(name), froms, tos)
 
 
 def _readable(data: bytes) -> str | None:
@@ -183,17 +184,23 @@ def _decode64(layer: Layer, start: int, end: int) -> tuple[Layer | None, str | N
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """All spans of one text, by start, then base kinds first."""
     found = dict.fromkeys(base_spans(text))
-    seen, work = {blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()}, deque([Layer(text, "", None, None)])
+    root = Layer(text, "", None, None)
+    root.found = set(found)
+    seen, work, tried = {blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()}, deque([root]), set()
     while work:
         layer = work.popleft()
         children: list[Layer | None] = []
         t = layer.text
         if "%" in t:
-            children += [_unescape(layer, s, e, _PERCENT, "url") for s, e in _tokens(t, _PERCENT)]
+            children.append(_unescape(layer, _PERCENT, "url"))
         if "\\u" in t or "\\x" in t:
-            children += [_unescape(layer, s, e, _ESCAPE, "unicode") for s, e in _tokens(t, _ESCAPE)]
+            children.append(_unescape(layer, _ESCAPE, "unicode"))
         if max(map(len, t.split()), default=0) >= 24:
             for m in _BASE64.finditer(t):
+                token = (m[0], *layer.root(*m.span()))
+                if token in tried:
+                    continue
+                tried.add(token)
                 child, bomb = _decode64(layer, *m.span())
                 children.append(child)
                 if bomb:
@@ -206,7 +213,10 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
             mark += repr(child.root(0, len(child.text))).encode()
             if mark not in seen:
                 seen.add(mark)
-                found |= {(child.name(k), *child.root(s, e)): None for k, s, e in base_spans(child.text)}
+                child.found = {(k, *child.root(s, e)) for k, s, e in base_spans(child.text)}
+                # text that an unescaped layer keeps shows again what was found without unescaping
+                found |= {(child.name(k), *span): None for k, *span in child.found if (k, *span) not in layer.found}
+                child.found |= layer.found
                 work.append(child)
     order = {k: i for i, k in enumerate(BASE)}
     return sorted(found, key=lambda x: (x[1], order.get(x[0], len(BASE)), x[0], x[2]))

@@ -243,3 +243,14 @@ def test_secrets_unwrap(docs):
     assert ("url.assign", 0, 3 * (len(inner) - 1)) in secrets.find_secrets(escaped)
     got = {x.doc_id: x for x in secrets.scan_secrets(docs).collect()}
     assert (got[11].n_assign, got[11].n_hex) == (1, 1) and got[5].spans == ""
+
+
+def test_escaped_values_keep_their_keys():
+    for text, kind in (('password: "abc%2Fdef%2Bghijkl"', "url.assign"), (r'''"token": "\u0061bc\u002Fdefghijklm"''', "unicode.assign")):
+        start = text.index("p" if "pass" in text else "t")
+        assert secrets.find_secrets(text) == [(kind, start, len(text) - 1)]
+    # what the root shows already is not reported again by a layer that keeps it
+    plain = "password=hunter2hunter2"
+    assert secrets.find_secrets(plain + " 100%25 of %2525") == [("assign", 0, len(plain))]
+    pair = r"\ud83d\ude00 secret=\u0061bcdefghijklm"
+    assert secrets.find_secrets(pair) == [("unicode.assign", 13, len(pair))]
