@@ -7,7 +7,8 @@ a layer knows which span of the root text it comes from, so each finding is mapp
 
 Kinds: assign, access, hex in the root (the base, by fixed rules); the same after the path of
 decoders that led to it, such as ``base64.zlib.assign``; ``bomb`` for compressed data beyond MAX_LAYER bytes,
-which is reported instead of inflated.
+which is reported, and scanned part by part as it is inflated. Parts share 64 KB: a secret longer than that is met in pieces.
+Decoded bytes that are not UTF-8 are read as latin-1.
 
 Cases: a null or empty text has no spans; offsets are code points of the root, ends exclusive; what can't
 be decoded is left as it is; equal findings from several layers with one span and kind count once;
@@ -21,7 +22,9 @@ import binascii
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 MAX_LAYER = 64 << 20
+#: Inflated bytes beyond MAX_LAYER are scanned in parts of PART bytes that share OVERLAP bytes.
+PART, OVERLAP = 8 << 20, 64 << 10
 
 #: Fixed patterns; letters of the keys in either case.
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -45,7 +50,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}")
+#: Lines of one encoded block: full ones of equal alphabet, then the last.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{22,}[ \t]*(?:\r\n|\n|\r)[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _URL_TABLE = str.maketrans("-_", "+/")
 
 
@@ -139,46 +147,98 @@ def _unescape(layer: Layer, marks: re.Pattern, name: str) -> Layer | None:
     return Layer("".join(out), layer.name(name), froms, tos)
 
 
-def _readable(data: bytes) -> str | None:
+def _text(data: bytes) -> str:
     try:
-        text = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
-    shown = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and shown >= 0.95 * len(text) else None
-
-
-def _inflate(data: bytes) -> tuple[str, bytes | None] | None:
-    """(name, bytes) of compressed data; bytes are None beyond MAX_LAYER."""
+        return data.decode("latin-1")
+
+
+def _inflated(data: bytes, bits: int) -> Iterator[bytes]:
+    """Parts of what ``data`` holds, all its members one after the other; ends where bytes are no longer compressed data."""
+    while data:
+        d = zlib.decompressobj(bits)
+        try:
+            out = d.decompress(data, PART)
+            while out or d.unconsumed_tail:
+                yield out
+                out = d.decompress(d.unconsumed_tail, PART)
+            if rest := d.flush():
+                yield rest
+        except zlib.error:
+            return
+        # members may be followed by padding
+        data = d.unused_data.lstrip(b"\0") if d.eof else b""
+
+
+def _inflate(data: bytes) -> tuple[str, Iterator[bytes]] | None:
+    """(name, parts) of compressed data."""
     for name, bits, magic in (("gzip", 31, b"\x1f\x8b"), ("zlib", 15, b"\x78")):
         if data.startswith(magic):
-            try:
-                d = zlib.decompressobj(bits)
-                out = d.decompress(data, MAX_LAYER + 1)
-                return (name, None if len(out) > MAX_LAYER else out)
-            except zlib.error:
-                continue
+            parts = _inflated(data, bits)
+            if first := next(parts, None):
+                return name, chain([first], parts)
     return None
 
 
-def _decode64(layer: Layer, start: int, end: int) -> tuple[Layer | None, str | None]:
-    """The child in a base64 token, inflated as often as needed; or the path at which a bomb was met."""
-    raw = layer.text[start:end].rstrip("=").translate(_URL_TABLE)
+def _bytes64(raw: str) -> bytes | None:
+    raw = raw.rstrip("=").translate(_URL_TABLE)
     if len(raw) % 4 == 1:
-        return None, None
+        return None
     try:
-        data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
+        return base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None, None
-    path, seen = layer.name("base64"), set()
-    while (got := _inflate(data)) and data not in seen:
-        seen.add(data)
+        return None
+
+
+def _unpacked(data: bytes, path: str) -> Iterator[tuple[str, str | None]]:
+    """(path, text) of decoded bytes, inflated as often as needed, in overlapping parts beyond MAX_LAYER, where (path, None) tells of the bomb."""
+    seen = set()
+    while (got := _inflate(data)) and (mark := blake2b(data).digest()) not in seen:
+        seen.add(mark)
         path = f"{path}.{got[0]}"
-        if got[1] is None:
-            return None, path
-        data = got[1]
-    text = _readable(data)
-    return (Layer(text, path, *layer.root(start, end)) if text is not None else None), None
+        held = bytearray()
+        for part in got[1]:
+            held += part
+            if len(held) > MAX_LAYER:
+                break
+        data = bytes(held)
+        if len(held) > MAX_LAYER:
+            yield path, None
+            yield path, _text(data)
+            tail = data[-OVERLAP:]
+            del data, held
+            for part in got[1]:
+                yield path, _text(tail + part)
+                tail = (tail + part)[-OVERLAP:]
+            return
+    if data:
+        yield path, _text(data)
+
+
+def _decode64(layer: Layer, start: int, end: int, raw: str) -> Iterator[tuple[str, Layer | None]]:
+    """(path, child) for what is in a base64 token, with None for a child where a bomb is met."""
+    if data := _bytes64(raw):
+        for path, text in _unpacked(data, layer.name("base64")):
+            yield path, None if text is None else Layer(text, path, *layer.root(start, end))
+
+
+def _tokens64(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, alphabet characters) of base64 tokens: blocks of lines of one length first, then each run."""
+    for m in _WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(text, m.start(), m.end())]
+        at = 0
+        while at < len(lines):
+            width, to = lines[at][1] - lines[at][0], at + 1
+            while to < len(lines) and lines[to - 1][1] - lines[to - 1][0] == width and lines[to][1] - lines[to][0] <= width:
+                to += 1
+            # a shorter last line may be the text that follows the block
+            for last in (to, to - 1) if lines[to - 1][1] - lines[to - 1][0] < width else (to,):
+                if last - at > 1:
+                    yield lines[at][0], lines[last - 1][1], "".join(text[a:b] for a, b in lines[at:last])
+            at = to
+    for m in _BASE64.finditer(text):
+        yield *m.span(), m[0]
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -189,23 +249,24 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     seen, work, tried = {blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()}, deque([root]), set()
     while work:
         layer = work.popleft()
-        children: list[Layer | None] = []
         t = layer.text
-        if "%" in t:
-            children.append(_unescape(layer, _PERCENT, "url"))
-        if "\\u" in t or "\\x" in t:
-            children.append(_unescape(layer, _ESCAPE, "unicode"))
-        if max(map(len, t.split()), default=0) >= 24:
-            for m in _BASE64.finditer(t):
-                token = (m[0], *layer.root(*m.span()))
-                if token in tried:
-                    continue
-                tried.add(token)
-                child, bomb = _decode64(layer, *m.span())
-                children.append(child)
-                if bomb:
-                    found[(f"{bomb}.bomb", *layer.root(*m.span()))] = None
-        for child in children:
+
+        def children(layer: Layer = layer, t: str = t) -> Iterator[Layer | None]:
+            if "%" in t:
+                yield _unescape(layer, _PERCENT, "url")
+            if "\\u" in t or "\\x" in t:
+                yield _unescape(layer, _ESCAPE, "unicode")
+            if _BASE64.search(t):
+                for start, end, raw in _tokens64(t):
+                    token = (blake2b(raw.encode()).digest(), *layer.root(start, end))
+                    if token not in tried:
+                        tried.add(token)
+                        for path, child in _decode64(layer, start, end, raw):
+                            if child is None:
+                                found[(f"{path}.bomb", *layer.root(start, end))] = None
+                            yield child
+
+        for child in children():
             if child is None:
                 continue
             mark = blake2b(child.text.encode(errors="surrogatepass"), digest_size=16).digest()
@@ -215,8 +276,9 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
                 seen.add(mark)
                 child.found = {(k, *child.root(s, e)) for k, s, e in base_spans(child.text)}
                 # text that an unescaped layer keeps shows again what was found without unescaping
-                found |= {(child.name(k), *span): None for k, *span in child.found if (k, *span) not in layer.found}
-                child.found |= layer.found
+                old = layer.found if child.starts.__class__ is list else set()
+                found |= {(child.name(k), *span): None for k, *span in child.found if (k, *span) not in old}
+                child.found |= old
                 work.append(child)
     order = {k: i for i, k in enumerate(BASE)}
     return sorted(found, key=lambda x: (x[1], order.get(x[0], len(BASE)), x[0], x[2]))

@@ -254,3 +254,31 @@ def test_escaped_values_keep_their_keys():
     assert secrets.find_secrets(plain + " 100%25 of %2525") == [("assign", 0, len(plain))]
     pair = r"\ud83d\ude00 secret=\u0061bcdefghijklm"
     assert secrets.find_secrets(pair) == [("unicode.assign", 13, len(pair))]
+
+
+def test_short_wrapped_joined_and_unreadable_layers(monkeypatch):
+    import base64
+    import gzip
+
+    def kinds(data, wrap=None):
+        token = base64.b64encode(data).decode() if wrap is None else base64.encodebytes(data).decode().strip().replace("\n", wrap)
+        return {k for k, s, e in secrets.find_secrets("a: " + token) if (s, e) == (3, 3 + len(token))}
+
+    secret = b'password = "hunter2hunter2"'
+    for n in (16, 17):
+        assert "base64.hex" in kinds(b"0123456789abcdef0"[:n])
+    noise = random.Random(3).randbytes(150)
+    long = b"words " * 8 + secret + b" words" * 20
+    for wrap in ("\n", "\r\n", "\n  "):
+        assert "base64.assign" in kinds(long, wrap)
+        assert "base64.gzip.assign" in kinds(gzip.compress(noise.hex().upper().encode() + b" " + secret), wrap)
+    block = base64.b64encode(b"words " * 8 + secret + b" " * 38).decode()
+    pem = f"-----BEGIN KEY-----\n{block[:76]}\n{block[76:]}\n-----END KEY-----"
+    assert len(block) == 152 and ("base64.assign", 20, 173) in secrets.find_secrets(pem)
+    assert "base64.gzip.assign" in kinds(gzip.compress(b"one") + gzip.compress(secret))
+    assert "base64.assign" in kinds(noise + b" " + secret)
+    monkeypatch.setattr(secrets, "MAX_LAYER", 1000)
+    monkeypatch.setattr(secrets, "PART", 300)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for at in range(4000, 4300, 7):
+        assert {"base64.gzip.bomb", "base64.gzip.assign"} <= kinds(gzip.compress(b" " * at + secret + b" " * 3000))
