@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm.common import stage
 
 SHARDS = 24
+#: Percent of the union of two documents' 5-word shingles that both must hold to be near duplicates.
+SIMILAR = 80
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id."""
     from skein.llm.neardup import first_of_each_group
 
-    return first_of_each_group(docs)
+    return first_of_each_group(docs, percent=SIMILAR)
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

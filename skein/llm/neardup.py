@@ -1,13 +1,13 @@
 """MinHash near-dedup as a Chosen Path set similarity join (Christiani, Pagh and Sivertsen's CPSJoin).
 
 A document's set holds its distinct shingles of ``WORDS`` words; 64 minwise tokens stand for the set. A
-tree starts with all documents in one node. A node chooses one or two of the 64 places (1/0.85 on average)
+tree starts with all documents in one node. A node chooses one or two of the 64 places (1 / threshold on average)
 and sends each document to a child for each, named by the token it has there: a pair of similarity s stays
 together with probability s a child. Nodes of at most ``SMALL`` documents compare all their pairs by their tokens;
-larger ones compare every document with one of them, the node's pivot, and branch on. Twelve independent trees
-make a miss of a pair at the threshold unlikely (below 1e-9 in small nodes).
+larger ones compare every document with one of them, the node's pivot, and branch on. As many independent trees are
+taken as make a miss of a pair at the threshold unlikely (at most 1e-10 where nodes are small after one level).
 
-Pairs whose tokens agree in 40 of 64 places join documents to clusters. Nodes that are still large after LEVELS
+Pairs whose tokens agree in enough of the 64 places (five standard deviations below the threshold) join documents to clusters. Nodes that are still large after LEVELS
 levels are settled once clusters are known: their documents outside the main cluster are compared with all of the
 node, or branch on while they are many. Links are confirmed on the full sets: a cluster of bounded size within one task,
 which compares its documents unless they are linked already; a larger one by its candidate pairs, the likeliest
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from math import ceil, floor, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,8 @@ from skein.operators.components import components
 
 WORDS = 5
 PLACES = 64
-TREES = 12
+#: Chance that no tree has a pair at the threshold together after one level, at most.
+MISS = 1e-10
 SMALL = 24
 LEVELS = 1
 #: A cluster of similar documents of at most so many documents and shingles is compared in one task.
@@ -44,10 +46,27 @@ CLUSTER_SHINGLES = 4 << 20
 #: Documents outside a large node's main component that are compared with all of the node.
 OUTSIDE = 256
 DEEPEST = 48
-#: 100 * intersection >= PERCENT * union links two sets.
+#: 100 * intersection >= percent * union links two sets; op2's threshold.
 PERCENT = 85
-#: Tokens that must agree before full sets are compared: five standard deviations below the threshold.
-AGREE = 40
+
+
+
+def least_agreeing(percent: int) -> int:
+    """Tokens that must agree before full sets are compared: five standard deviations below the threshold."""
+    s = percent / 100
+    return floor(PLACES * s - 5 * sqrt(PLACES * s * (1 - s)))
+
+
+def trees_for(percent: int) -> int:
+    """Trees that leave a pair at the threshold apart in all of them with a chance of MISS at most, one level down.
+
+    A node has one child, or two with chance 100 / percent - 1; a pair parts in a child with chance 1 - s.
+    """
+    s = percent / 100
+    two = (1 / s - 1) * (1 - 1 / PLACES)  # the second place may be the first
+    apart = (1 - two) * (1 - s) + two * (1 - s) ** 2
+    return ceil(log(MISS) / log(apart))
+
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -139,19 +158,19 @@ def _place(node: Column, nth: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(nth)), F.lit(PLACES)).cast("int")
 
 
-def _children(node: Column, token: Column) -> Column:
-    """Names of a node's children for one document: one place, and a second with the chance that makes 100/85 on average."""
+def _children(node: Column, token: Column, percent: int) -> Column:
+    """Names of a node's children for one document: one place, and a second with the chance that makes 100/percent on average."""
     first, second = _place(node, 1), _place(node, 2)
 
     def child(place: Column) -> Column:
         return F.xxhash64(node, place, F.substring(token, place * 4 + 1, F.lit(4)))
 
-    more = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(PERCENT)) < 100 - PERCENT
+    more = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(percent)) < 100 - percent
     return F.when(more & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
-def _similar(nodes: DataFrame, members: str) -> DataFrame:
-    """(a, b, agree) with a < b: pairs within each row's list of (id, tokens) whose tokens agree in AGREE places."""
+def _similar(nodes: DataFrame, members: str, agree: int) -> DataFrame:
+    """(a, b, agree) with a < b: pairs within each row's list of (id, tokens) whose tokens agree in ``agree`` places."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +183,7 @@ def _similar(nodes: DataFrame, members: str) -> DataFrame:
                 t, own = flat[lo:hi], ids[lo:hi]
                 for i in range(hi - lo - 1):
                     same = (t[i + 1 :] == t[i]).sum(axis=1)
-                    for j in np.flatnonzero(same >= AGREE):
+                    for j in np.flatnonzero(same >= agree):
                         x, y = int(own[i]), int(own[i + 1 + j])
                         if x != y:
                             a.append(min(x, y))
@@ -175,15 +194,15 @@ def _similar(nodes: DataFrame, members: str) -> DataFrame:
     return nodes.select(members).mapInArrow(compared, "a long, b long, agree int")
 
 
-def _with_pivots(members: DataFrame, pivots: DataFrame, n_pivots: int) -> DataFrame:
-    """Pairs of each member with its node's pivot that agree in AGREE places."""
+def _with_pivots(members: DataFrame, pivots: DataFrame, n_pivots: int, agree: int) -> DataFrame:
+    """Pairs of each member with its node's pivot that agree in ``agree`` places."""
     pivots = pivots.select("node", F.col("id").alias("p"), F.col("tokens").alias("pt"))
     met = members.join(F.broadcast(pivots) if n_pivots <= BROADCAST_ROWS else pivots, "node").where("id <> p")
     pair = F.array(F.struct("id", "tokens"), F.struct(F.col("p").alias("id"), F.col("pt").alias("tokens")))
-    return _similar(met.select(pair.alias("m")), "m")
+    return _similar(met.select(pair.alias("m")), "m", agree)
 
 
-def _level(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _level(rows: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """One level of rows (node, id): similar pairs found in its nodes, and the members of the large ones.
 
     Most nodes hold one document, so tokens join only what shares a node.
@@ -191,12 +210,12 @@ def _level(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame | Non
     sizes = stage(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = stage(rows.join(sizes, "node"), "members").join(reps.select("id", "tokens"), "id")
     small = shared.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("id", "tokens")).alias("m"))
-    found, rest = _similar(small, "m"), None
+    found, rest = _similar(small, "m", least_agreeing(percent)), None
     large = sizes.where(F.col("n") > SMALL).count()
     if large:
         rest = stage(shared.where(F.col("n") > SMALL).select("node", "id", "tokens"), "large")
         pivots = rest.groupBy("node").agg(F.min_by(F.struct("id", "tokens"), F.xxhash64("id")).alias("x")).select("node", "x.*")
-        found = found.unionByName(_with_pivots(rest, stage(pivots, "pivots"), large))
+        found = found.unionByName(_with_pivots(rest, stage(pivots, "pivots"), large, least_agreeing(percent)))
     # a pair met in several nodes is one pair
     return stage(_once(found), "pairs"), rest
 
@@ -205,18 +224,18 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def _branch(members: DataFrame) -> DataFrame:
-    return members.select("id", F.explode(_children(F.col("node"), F.col("tokens"))).alias("node"))
+def _branch(members: DataFrame, percent: int) -> DataFrame:
+    return members.select("id", F.explode(_children(F.col("node"), F.col("tokens"), percent)).alias("node"))
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Similar pairs (a, b, agree) of (id, tokens), each once, and the members of nodes still large at the last level."""
-    roots = F.flatten(F.array(*[_children(F.xxhash64(F.lit(f"tree {t}")), F.col("tokens")) for t in range(TREES)]))
-    pairs, rest = _level(reps.select("id", F.explode(roots).alias("node")), reps)
+    roots = F.flatten(F.array(*[_children(F.xxhash64(F.lit(f"tree {t}")), F.col("tokens"), percent) for t in range(trees_for(percent))]))
+    pairs, rest = _level(reps.select("id", F.explode(roots).alias("node")), reps, percent)
     for _ in range(1, LEVELS):
         if rest is None:
             break
-        found, rest = _level(_branch(rest), reps)
+        found, rest = _level(_branch(rest, percent), reps, percent)
         pairs = pairs.unionByName(found)
     return _once(pairs), rest
 
@@ -235,7 +254,7 @@ def full_sets(df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     return stage(rows.mapInArrow(built, "id long, shingles binary"), "sets", "uncompressed")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +263,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(memoryview(z.as_buffer()), np.uint64) for z in (x, y))
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     pairs = stage(pairs.select("a", "b"), "check")
@@ -260,25 +279,25 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return met.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least id that links lead to) and kept (it is that one)."""
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Sets whose intersection is ``percent`` of their union or more are linked. Per row: doc_id, n_shingles, component_id (least id that links lead to) and kept (it is that one)."""
     rows = stage(sketches(df, key, text), "sketches")
     classes = stage(rows.where("mark is not null and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
     reps = rows.where("mark is not null").join(classes, (F.col("doc_id") == F.col("rep")) & (rows["mark"] == classes["mark"]), "left_semi")
     reps = stage(reps.select(F.col("doc_id").alias("id"), "n_shingles", "tokens").distinct(), "reps")
 
-    pairs, large = candidates(reps)
+    pairs, large = candidates(reps, percent)
     pairs = stage(pairs, "candidates")
-    clusters = _clusters(pairs, large, reps)
+    clusters = _clusters(pairs, large, reps, percent)
     sizes = clusters.join(reps.select("id", "n_shingles"), F.col("node") == F.col("id")).groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     fits = (F.col("n") <= CLUSTER_DOCUMENTS) & (F.col("shingles") <= CLUSTER_SHINGLES)
     of = stage(clusters.join(sizes.withColumn("fits", fits), "component").select(F.col("node").alias("id"), "component", "fits"), "clusters")
-    links = stage(_within_clusters(df, of.where("fits"), key, text), "links")
+    links = stage(_within_clusters(df, of.where("fits"), key, text, percent), "links")
     big = of.where("not fits").select("id")
     if not big.isEmpty():
         own = pairs.join(big.withColumnRenamed("id", "a"), "a", "left_semi")
         rest = None if large is None else stage(large.join(big, "id", "left_semi").select("node", "id", "tokens"), "large")
-        links = links.unionByName(_large_clusters(df, own, rest, reps, key, text))
+        links = links.unionByName(_large_clusters(df, own, rest, reps, key, text, percent))
     labels = stage(components(links, "a", "b"), "labels")
 
     met = rows.join(classes, "mark", "left").select("doc_id", "n_shingles", "rep")
@@ -287,7 +306,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return met.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _within_clusters(df: DataFrame, of: DataFrame, key: str, text: str) -> DataFrame:
+def _within_clusters(df: DataFrame, of: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Links that join all linked documents of each cluster, from their full sets; each set travels once."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,15 +322,15 @@ def _within_clusters(df: DataFrame, of: DataFrame, key: str, text: str) -> DataF
         place = np.frombuffer(b"".join(tokens(x) for x in sets), np.uint32).reshape(n, PLACES)
         sizes = np.array([len(x) for x in sets])
         root, out = np.arange(n), []
-        for least, below in ((PLACES - 6, PLACES + 1), (AGREE, PLACES - 6)):  # likely links first: they spare comparing the others
+        for least, below in ((PLACES - 6, PLACES + 1), (least_agreeing(percent), PLACES - 6)):  # likely links first: they spare comparing the others
             for i in range(n - 1):
                 apart = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
                 same = (place[apart] == place[i]).sum(axis=1)
-                near = (same >= least) & (same < below) & (100 * np.minimum(sizes[apart], sizes[i]) >= PERCENT * np.maximum(sizes[apart], sizes[i]))
+                near = (same >= least) & (same < below) & (100 * np.minimum(sizes[apart], sizes[i]) >= percent * np.maximum(sizes[apart], sizes[i]))
                 for j in apart[near].tolist():
                     if root[i] != root[j]:
                         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                             out.append((ids[i], ids[j]))
                             root[root == root[j]] = root[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
@@ -323,27 +342,27 @@ def _within_clusters(df: DataFrame, of: DataFrame, key: str, text: str) -> DataF
     return sets.groupBy("component").applyInPandas(linked, "a long, b long")
 
 
-def _large_clusters(df: DataFrame, pairs: DataFrame, large: DataFrame | None, reps: DataFrame, key: str, text: str) -> DataFrame:
+def _large_clusters(df: DataFrame, pairs: DataFrame, large: DataFrame | None, reps: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Links of clusters that no task should hold, pair by pair."""
     pairs = stage(pairs, "candidates")
     sets = full_sets(df, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text)
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
-    links = confirmed(best, sets)
+    links = confirmed(best, sets, percent)
     labels = stage(components(links, "a", "b"), "labels")
-    links = links.unionByName(confirmed(_across(pairs, labels), sets))
+    links = links.unionByName(confirmed(_across(pairs, labels), sets, percent))
 
     def confirm(found: DataFrame) -> DataFrame:
-        return confirmed(found, full_sets(df, found.select(F.explode(F.array("a", "b")).alias("id")), key, text))
+        return confirmed(found, full_sets(df, found.select(F.explode(F.array("a", "b")).alias("id")), key, text), percent)
 
-    return _settle(large, reps, links, confirm)[0]
+    return _settle(large, reps, links, confirm, percent)[0]
 
 
-def _clusters(pairs: DataFrame, large: DataFrame | None, reps: DataFrame) -> DataFrame:
+def _clusters(pairs: DataFrame, large: DataFrame | None, reps: DataFrame, percent: int) -> DataFrame:
     """(node, component) of documents joined by similar tokens, those that large nodes hide included."""
-    return _settle(large, reps, pairs.select("a", "b"), lambda found: found.select("a", "b"))[1]
+    return _settle(large, reps, pairs.select("a", "b"), lambda found: found.select("a", "b"), percent)[1]
 
 
-def _settle(large: DataFrame | None, reps: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _settle(large: DataFrame | None, reps: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
     """Links and components after what large nodes still hide is compared and confirmed.
 
     Members of a node's largest component need no more comparing with each other. Where at most OUTSIDE
@@ -366,10 +385,10 @@ def _settle(large: DataFrame | None, reps: DataFrame, links: DataFrame, confirm:
         now = (F.col("out") <= OUTSIDE) | F.lit(depth == DEEPEST)
         outside = at.where(now & (F.col("c") != F.col("most"))).groupBy("node", F.pmod(F.xxhash64("id"), F.floor(F.col("out") / 32) + 1).alias("part"))
         outside = stage(outside.agg(F.collect_list(F.struct("id", "tokens")).alias("others")), "outside")
-        found = _against(at.where(now).select("node", "id", "tokens"), outside, ready)
+        found = _against(at.where(now).select("node", "id", "tokens"), outside, ready, least_agreeing(percent))
         large = None
         if ready < nodes:
-            more, large = _level(_branch(at.where(~now).select("node", "id", "tokens")), reps)
+            more, large = _level(_branch(at.where(~now).select("node", "id", "tokens"), percent), reps, percent)
             found = found.unionByName(more)
         found = stage(_across(_once(found), labels), "candidates")
         links = links.unionByName(confirm(found))
@@ -377,7 +396,7 @@ def _settle(large: DataFrame | None, reps: DataFrame, links: DataFrame, confirm:
     return links, labels
 
 
-def _against(members: DataFrame, outside: DataFrame, nodes: int) -> DataFrame:
+def _against(members: DataFrame, outside: DataFrame, nodes: int, agree: int) -> DataFrame:
     """Similar pairs of each member with each document of its node's lists of others."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,14 +410,14 @@ def _against(members: DataFrame, outside: DataFrame, nodes: int) -> DataFrame:
                 own = np.repeat(np.arange(len(ids)), sizes)
                 same = (theirs == np.frombuffer(b"".join(mine), np.uint32).reshape(-1, PLACES)[own]).sum(axis=1)
                 a, b = ids[own], others.field("id").to_numpy()
-                near = (same >= AGREE) & (a != b)
+                near = (same >= agree) & (a != b)
                 yield pa.record_batch([pa.array(np.minimum(a, b)[near]), pa.array(np.maximum(a, b)[near]), pa.array(same[near].astype(np.int32))], ["a", "b", "agree"])
 
     met = members.join(F.broadcast(outside) if nodes <= 1000 else outside, "node")
     return met.select("id", "tokens", "others").mapInArrow(compared, "a long, b long, agree int")
 
 
-def first_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` whose id is the least of its component, unchanged."""
-    dropped = near_duplicates(df, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    dropped = near_duplicates(df, key, text, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
     return df.join(dropped, F.col(key) == F.col("__id"), "left_anti")

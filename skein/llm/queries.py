@@ -23,7 +23,7 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm.neardup import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
 def op3_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

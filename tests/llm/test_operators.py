@@ -282,3 +282,16 @@ def test_short_wrapped_joined_and_unreadable_layers(monkeypatch):
     monkeypatch.setattr(secrets, "OVERLAP", 100)
     for at in range(4000, 4300, 7):
         assert {"base64.gzip.bomb", "base64.gzip.assign"} <= kinds(gzip.compress(b" " * at + secret + b" " * 3000))
+
+
+def test_pipeline_takes_near_copies_from_four_fifths(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    other = ["x" if i in (30, 60) else w for i, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, prose(80, 70))], "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.distinct(spark, df, "").collect()} == {1, 3}
+    assert all(x.kept for x in neardup.near_duplicates(df, percent=85).collect())
+    for percent in (80, 85):
+        s = percent / 100
+        assert neardup.least_agreeing(percent) <= 64 * s - 5 * math.sqrt(64 * s * (1 - s))
