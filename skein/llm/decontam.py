@@ -6,8 +6,12 @@ every document are hashed and joined. Around each hit item and document are laid
 the agreeing positions of the whole overlap are counted: a document is contaminated if at least
 ``item_share`` of an item agrees, or ``near`` of ``span`` adjoining positions do.
 
-Words are the lower-cased runs of non-space characters. Items shorter than a mask are looked up as a
-whole, each length by a mask without gaps.
+The masks are all that look at three of five adjoining words, so any three agreeing words within five are a hit. Both
+rules imply such a place at their standing values: were there none, at most two of each five words and two of
+the rest would agree, which is less than 0.6 of five words or more. So no substitution hides an alignment that
+counts. Of items of three and four words any two agreeing words within three are a hit; items of one and two are looked up whole.
+
+Words are the lower-cased runs of non-space characters.
 
 Cases: null or empty texts and items agree with nothing; repeated items count once each by item_id;
 rows with equal doc_id are judged together; a null doc_id is an id; extra columns don't matter.
@@ -15,13 +19,17 @@ rows with equal doc_id are judged together; a null doc_id is an id; extra column
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import BROADCAST_ROWS, SPACES
 
 #: Fixed masks: the offsets that count.
-MASKS = ((0, 1, 3, 5, 8, 10), (0, 2, 3, 6, 7, 9))
+MASKS = tuple((0, a, b) for b in range(2, 5) for a in range(1, b))
+#: Masks of items of three and four words.
+SHORT_MASKS = ((0, 1), (0, 2))
 SPAN = 13
 
 
@@ -54,16 +62,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, item_share: float = 0.6, nea
     bound; beyond it the join shuffles seeds by hash, and skewed seeds are split by adaptive execution.
     """
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0)
-    longest = max(m[-1] for m in MASKS) + 1
-    short = [r[0] for r in items.where(F.size("h") < longest).select(F.size("h")).distinct().collect()]
-    solid = [tuple(range(n)) for n in sorted(short)]
-    known = seeds(items.where(F.size("h") >= longest), list(MASKS), ["item_id"])
-    for m in solid:
-        known = known.unionByName(seeds(items.where(F.size("h") == len(m)), [m], ["item_id"]))
+    short = {r[0] for r in items.where(F.size("h") < 5).select(F.size("h")).distinct().collect()}
+    # words of an item, and the masks for it
+    sizes = [(F.size("h") >= 5, MASKS), *[(F.size("h") == n, SHORT_MASKS if n > 2 else (tuple(range(n)),)) for n in sorted(short)]]
+    known = reduce(DataFrame.unionByName, [seeds(items.where(these), list(masks), ["item_id"]) for these, masks in sizes])
+    masks = sorted({m for _, masks in sizes for m in masks})
     known = known.select("seed", "item_id", F.col("h").alias("item"), F.col("at").alias("item_at"))
     count = known.count()
     rows = docs.select(F.col(key).alias("doc_id"), word_hashes(F.col(text)).alias("h"))
-    hits = seeds(rows, [*MASKS, *solid], ["doc_id"]).join(F.broadcast(known) if count <= BROADCAST_ROWS else known, "seed")
+    hits = seeds(rows, masks, ["doc_id"]).join(F.broadcast(known) if count <= BROADCAST_ROWS else known, "seed")
 
     # Up to here all is one generated loop over positions: nothing but a hit leaves it, with the words beside the item
     # only. Higher-order functions would break the loop, so they wait until hits of one alignment are merged.

@@ -295,3 +295,29 @@ def test_pipeline_takes_near_copies_from_four_fifths(spark):
     for percent in (80, 85):
         s = percent / 100
         assert neardup.least_agreeing(percent) <= 64 * s - 5 * math.sqrt(64 * s * (1 - s))
+
+
+def test_decontamination_finds_what_laying_side_by_side_finds(spark):
+    r = random.Random(11)
+    items = [(n, " ".join(r.choice(VOCABULARY) for _ in range(n))) for n in [*range(1, 24), 30, 45]]
+    docs = []
+    for n, text in items:
+        for _ in range(6):
+            words = text.split()
+            for i in r.sample(range(n), n - math.ceil(0.6 * n)):  # as many substitutions as the rule allows
+                words[i] = "zz"
+            docs.append((len(docs), " ".join(["y"] * r.randrange(3) + words + ["y"] * r.randrange(3))))
+        for step in (3, 4):
+            docs.append((len(docs), " ".join("zz" if i % step == 0 else w for i, w in enumerate(text.split()))))
+
+    def agrees(doc, item):
+        best = 0
+        for start in range(1 - len(item), len(doc)):
+            same = [0 <= start + i < len(doc) and doc[start + i] == w for i, w in enumerate(item)]
+            inside = [x for i, x in enumerate(same) if 0 <= start + i < len(doc)]
+            best |= sum(same) >= 0.6 * len(item) or max(sum(inside[i : i + 13]) for i in range(max(1, len(inside) - 12))) >= 11
+        return bool(best)
+
+    want = {k for k, t in docs if any(agrees(t.split(), x.split()) for _, x in items)}
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {x.doc_id for x in got.collect() if x.contaminated} == want and len(want) > 150
