@@ -23,9 +23,12 @@ def utf8(col: Column) -> Column:
     return F.coalesce(col, F.lit("")).cast("binary")
 
 
-def small_or_join(left: DataFrame, right: DataFrame, rows: int, on: list[str], how: str) -> DataFrame:
-    """Join, broadcasting ``right`` only if its counted ``rows`` are within the bound."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores after it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bits_for(rows: int, per_bucket: int, least: int = 4, most: int = 24) -> int:

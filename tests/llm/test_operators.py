@@ -78,25 +78,59 @@ def test_near_duplicates(docs, none, monkeypatch):
     assert neardup.first_of_each_group(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("cap", [4000, 4])
-def test_many_near_copies(spark, monkeypatch, cap):
-    monkeypatch.setattr(neardup, "CLUSTER_DOCUMENTS", cap)
+def brute_components(rows, percent):
+    sets = neardup.shingle_sets([t.encode() for _, t in rows])
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if root[i] != root[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return {rows[i][0]: rows[x][0] for i, x in enumerate(root)}
+
+
+#: Sizes of a cluster and of a node that one task holds: as they are, and so small that the distributed ways run.
+@pytest.mark.parametrize(("cap", "node", "pairs"), [(4000, 1 << 15, 1 << 17), (4, 1 << 15, 1 << 17), (4, 24, 40), (4000, 10, 8)])
+def test_many_near_copies(spark, monkeypatch, cap, node, pairs):
+    for name, value in (("CLUSTER_DOCUMENTS", cap), ("NODE", node), ("PAIRS", pairs), ("DEEPEST", 3)):
+        monkeypatch.setattr(neardup, name, value)
     r, rows = random.Random(8), []
     for i in range(60):
         words = BASE.split()
         for _ in range(r.randrange(1, 6)):
             words[r.randrange(len(words))] = f"w{r.randrange(999)}"
         rows.append((i, " ".join(words)))
-    sets = neardup.shingle_sets([t.encode() for _, t in rows])
-    root = list(range(60))
-    for i in range(60):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = root[i], root[j]
-                root = [min(a, b) if x in (a, b) else x for x in root]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(root))
+    assert {x.doc_id: x.component_id for x in got} == brute_components(rows, 85)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_pairs_in_boilerplate_are_found(spark, monkeypatch, percent):
+    """Pairs at the threshold among documents that share half of their words: recall over all links is 0.99 or more."""
+    monkeypatch.setattr(neardup, "PAIRS", 64)
+    r, rows, shared = random.Random(3), [], prose(60, 77)
+    for i in range(400):
+        words = prose(60, 1000 + i).split()
+        other = list(words)
+        for _ in range(1 if percent == 85 else 2):
+            other[r.randrange(60)] = f"o{r.randrange(99999)}"
+        rows += [(2 * i, shared + " " + " ".join(words)), (2 * i + 1, shared + " " + " ".join(other))]
+    want = brute_components(rows, percent)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    links = [k for k, v in want.items() if k != v]
+    assert len(links) > 300 and sum(got[k] == want[k] for k in links) >= 0.99 * len(links)
+    assert all(got[k] == k for k in want if want[k] == k)
+
+
+def test_ids_of_near_copies(spark):
+    rows = [(5, BASE), (5, PASSAGE), (None, BASE), (7, BASE), (2, PASSAGE), (None, None), (9, "")]
+    got = [tuple(x)[:1] + tuple(x)[2:] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(5, 2, False), (5, 2, False), (None, None, True), (7, 2, False), (2, 2, True), (None, None, True), (9, 9, True)], key=str)
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(spark.createDataFrame([("a", BASE)], "doc_id string, text string"))
+    clash = spark.createDataFrame([(1, BASE, 4, 5), (2, NEAR, 4, 5)], "doc_id long, text string, dropped long, __id long")
+    assert [tuple(x) for x in neardup.first_of_each_group(clash).collect()] == [(1, BASE, 4, 5)]
 
 
 def test_brown_scores(docs, none):
