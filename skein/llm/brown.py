@@ -1,28 +1,30 @@
 """Language-model scoring with Brown classes: a class bigram whose classes come from the exchange algorithm
-(Brown et al. 1992; Martin, Liermann and Ney 1998).
+(Brown et al. 1992; Martin, Liermann and Ney 1998), its long tail from parallel exchange (Uszkoreit and Brants 2008).
 
     P(word_i | word_i-1) = P(class_i | class_i-1) * P(word_i | class_i)
 
-Every training document is counted. Units of clustering are the ``units`` most frequent words and, for all
-other words, seen or not, one of ``endings`` groups by their last two bytes; so each word has a
-class without a lookup in the whole vocabulary. Bigrams of units are counted over all training text;
-exchange moves units between classes while the likelihood grows. Word counts stay a distributed table:
-the ``held`` most frequent words are sent to the executors, all others meet their count in a join.
+Every training document is counted, and words are known by 64-bit hashes of their bytes. First the ``units`` most frequent
+words and ``endings`` groups of all other words (by their last two bytes) are exchanged between classes on the
+driver, by their dense bigrams, while the likelihood grows. Then every other word that training documents hold
+``LEAST`` times or more moves to the class that gains most by its own neighbours: ``ROUNDS`` passes, in which all such
+words move at once against the same class table; how many there are follows the corpus, and their neighbour counts stay a
+distributed table. Rarer words and those never seen have the class of their ending. The ``held`` most frequent words
+(17 bytes each) are sent to the executors with count and class; the others meet their count in a join, and have the class of their
+ending: that bound on memory is the only one.
 
 Transitions are smoothed towards class frequencies, emissions by adding 0.1 to each word of the class and to
 one unknown word. Words are runs of bytes other than the six ASCII spaces, with A-Z lower-cased; each text ends with one
 end token, which is a class of its own and also the context of the first word.
 
-Cases: a null or empty text is one end token; unknown words have count 0; without training documents all
-counts are 0; equal rows get equal scores, a row each; a null key counts as an empty one; extra columns don't matter.
+Cases: a null or empty text is one end token; a text of any length counts whole; unknown words have count 0; without training
+documents all counts are 0; of words as frequent the one of the lesser hash comes first; equal rows get equal scores, a row each; a null
+key counts as an empty one; an empty table stays empty; extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,24 @@ from pyspark.sql import functions as F
 from skein.llm.common import stage, utf8
 
 UNITS, ENDINGS, CLASSES = 1000, 256, 64
-#: Words whose counts every executor holds, at most.
-HELD = 200_000
-SWEEPS = 6
+#: Words whose counts and classes every executor holds, at most.
+HELD = 1_000_000
+#: Training count from which a word is clustered by its own neighbours.
+LEAST = 3
+#: Sweeps of the dense exchange, at most, and passes of the parallel one.
+SWEEPS, ROUNDS = 20, 2
 PULL = 10.0
 ADD = 0.1
-#: The end token; no word is empty.
-END = b""
-FLUSH = 300_000
+#: The end token's hash.
+END = 0
+#: Counted things that a task holds before it hands them on.
+FLUSH = 1_000_000
+
+_U = np.uint64
+_BASE = 0xA24BAED4963EE407
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = []
 
 
 def held_out(key: Column) -> Column:
@@ -47,58 +59,144 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def _mix(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> _U(27))) * _U(0x94D049BB133111EB)
+    return z ^ (z >> _U(31))
+
 
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of them."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, 1 << 20)
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n - 1, b, _U)])) for b in (_U(_BASE), _U(pow(_BASE, -1, 1 << 64)))]
+    return _POWERS
 
-def texts_of(column: pa.Array) -> Iterator[bytes]:
-    for x in column:
-        yield memoryview(x.as_buffer()).tobytes()
 
+@dataclass
+class Tokens:
+    """Words of some texts, each text with one end token before its first word and one after its last."""
+
+    word: np.ndarray  # hash, END for end tokens
+    tail: np.ndarray  # last two bytes as a number; 0 for end tokens
+    first: np.ndarray  # place of each text's leading end token; the next text's one is its closing one
+
+
+def tokens_of(texts: list[bytes]) -> Tokens:
+    """All texts are cut and hashed in one sweep over their bytes."""
+    joined = b" ".join([b"", *texts, b""]).lower()
+    at = np.frombuffer(joined, np.uint8)
+    space = _SPACE[at]
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    up, down = _powers(len(at) + 1)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum((at.astype(_U) + _U(1)) * up[: len(at)])])
+    word = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    tail = at[ends - 2].astype(np.int64) << 8 | at[ends - 1]  # a word of one byte has the space before it
+    begins = np.searchsorted(starts, np.cumsum([1, *[len(t) + 1 for t in texts]]))
+    first = begins + np.arange(len(begins))
+    n = len(word) + len(begins)
+    is_end = np.zeros(n, bool)
+    is_end[first] = True
+    words, tails = np.zeros(n, _U), np.zeros(n, np.int64)
+    words[~is_end], tails[~is_end] = np.maximum(word, _U(1)), tail
+    return Tokens(words, tails, first)
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch of about a megabyte of text, or one document."""
+    at, size, texts = 0, 0, []
+    for i in range(batch.num_rows):
+        texts.append(memoryview(batch.column(column)[i].as_buffer()).tobytes())
+        size += len(texts[-1])
+        if size > 1 << 20:
+            yield batch.slice(at, i + 1 - at), texts
+            at, size, texts = i + 1, 0, []
+    if texts:
+        yield batch.slice(at), texts
+
+
+class _Sums:
+    """Sums by key that a task gathers, as sorted arrays."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> None:
+        keys, of, times = np.unique(keys, return_inverse=True, return_counts=True)
+        self.parts.append((keys, times if n is None else np.bincount(of, weights=n).astype(np.int64)))
+        self.size += len(keys)
+        if self.size > 2 * FLUSH:
+            self.merge()
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            parts, self.parts, self.size = self.parts, [], 0
+            self.add(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All sums, in bounded parts; nothing is left."""
+        self.merge()
+        for keys, n in self.parts:
+            for i in range(0, len(keys), 100_000):
+                yield keys[i : i + 100_000], n[i : i + 100_000]
+        self.parts, self.size = [], 0
+
+
+def _counted(texts: DataFrame, count: Callable[[Tokens], np.ndarray]) -> DataFrame:
+    """(key, n): how often ``count`` gave each key, over all of ``texts``; summed within each task first."""
 
-class UnitOf(dict):
-    """Unit of a word: frequent words, then groups by ending; remembers what it was asked, within bounds."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
 
-    def __init__(self, frequent: list[bytes], endings: int) -> None:
-        super().__init__({w: i for i, w in enumerate(frequent)})
-        self.first, self.endings, self.most = len(frequent), endings, len(frequent) + 500_000
-        self[END] = self.first + endings
+        def out() -> Iterator[pa.RecordBatch]:
+            for keys, n in sums.take():
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    def __missing__(self, word: bytes) -> int:
-        unit = self.first + crc32(word[-2:]) % self.endings
-        if len(self) < self.most:
-            self[word] = unit
-        return unit
+        for whole in batches:
+            for _, some in _texts(whole, 0):
+                sums.add(count(tokens_of(some)))
+                if sums.size > FLUSH:
+                    sums.merge()
+                    if sums.size > FLUSH:
+                        yield from out()
+        yield from out()
 
-    @property
-    def n(self) -> int:
-        return self.first + self.endings + 1
+    return texts.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all of ``texts``, counted within each task first."""
+    """(word, tail, n) over all of ``texts``: each word's hash, last two bytes and count."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.record_batch([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-            count.clear()
-            return batch
-
-        for batch in batches:
-            for text in texts_of(batch.column(0)):
-                count.update(words_of(text))
-                count[END] += 1
-                if len(count) > FLUSH:
-                    yield out()
-        yield out()
+        sums, tails = _Sums(), {}
 
-    return texts.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        def out() -> Iterator[pa.RecordBatch]:
+            keys = np.concatenate([t[0] for t in tails["at"]]) if tails else np.zeros(0, _U)
+            ends = np.concatenate([t[1] for t in tails["at"]]) if tails else np.zeros(0, np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, ends = keys[order], ends[order]
+            for word, n in sums.take():
+                yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(ends[np.searchsorted(keys, word)]), pa.array(n)], ["word", "tail", "n"])
+            tails.clear()
 
-
-def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words with their counts, ``most`` at most: a cut through a histogram of counts, no sort."""
+        for whole in batches:
+            for _, some in _texts(whole, 0):
+                t = tokens_of(some)
+                word, tail = t.word[1:], t.tail[1:]  # the first end token is the context of the first text only
+                kinds, where, times = np.unique(word, return_index=True, return_counts=True)
+                sums.parts.append((kinds, times))
+                sums.size += len(kinds)
+                tails.setdefault("at", []).append((kinds, tail[where]))
+                if sums.size > FLUSH:
+                    yield from out()
+        yield from out()
+
+    return texts.mapInArrow(counted, "word long, tail long, n long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, tail, count) of the most frequent words, ``most`` at most, the frequent first: a cut through a histogram of counts, no sort."""
     level = F.floor(F.log("n") / np.log(1.05)).cast("int")
     room, least = most, None
     for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
@@ -107,40 +205,52 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
             break
         least = r["level"]
     if least is None:
-        return []
-    got = [(bytes(r["word"]), r["n"]) for r in counts.where(level >= least).collect()]
-    return sorted(got, key=lambda x: (-x[1], x[0]))
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = counts.where(level >= least).select("word", "tail", "n").toArrow()
+    word, tail, n = (got[c].to_numpy() for c in ("word", "tail", "n"))
+    word = word.view(_U)
+    order = np.lexsort((word, -n))
+    return word[order], tail[order], n[order]
 
 
-def unit_bigrams(texts: DataFrame, unit_of: UnitOf) -> np.ndarray:
-    """Dense matrix of how often unit j follows unit i; the result has units**2 numbers at most, whatever the input."""
-    n = unit_of.n
+def ending(tail: np.ndarray, endings: int) -> np.ndarray:
+    return (_mix(tail.astype(_U) + _U(1)) % _U(endings)).astype(np.int64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * n, np.int64)
-        get, end = unit_of.__getitem__, [unit_of[END]]
-        for batch in batches:
-            row: list[int] = []
-            for text in texts_of(batch.column(0)):
-                row += end
-                row += map(get, words_of(text))
-                if len(row) > 1_000_000:
-                    row += end
-                    at = np.array(row, np.int64)
-                    total += np.bincount(at[:-1] * n + at[1:], minlength=n * n)
-                    row = []
-            if row:
-                row += end
-                at = np.array(row, np.int64)
-                total += np.bincount(at[:-1] * n + at[1:], minlength=n * n)
-        found = np.flatnonzero(total)
-        for i in range(0, len(found), 100_000):
-            part = found[i : i + 100_000]
-            yield pa.record_batch([pa.array(part), pa.array(total[part])], ["code", "n"])
-
-    got = texts.mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+
+class Lexicon:
+    """What executors know of words: the held ones by sorted hash, with count and class; a class for each ending."""
+
+    def __init__(self, word: np.ndarray, n: np.ndarray, group: np.ndarray, of_group: np.ndarray) -> None:
+        order = np.argsort(word)
+        self.word, self.n, self.group, self.of_group = word[order], n[order], group[order], of_group
+
+    def places(self, word: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 if it isn't held."""
+        if not len(self.word):
+            return np.full(len(word), -1)
+        kinds, of = np.unique(word, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.word, kinds), len(self.word) - 1)
+        return np.where(self.word[at] == kinds, at, -1)[of]
+
+    def groups(self, t: Tokens, places: np.ndarray) -> np.ndarray:
+        """Unit or class of each token: its own if it is held, that of its ending, or the last for the end token."""
+        end = len(self.of_group) - 1
+        found = self.of_group[ending(t.tail, end)]
+        if len(self.word):
+            found = np.where(places >= 0, self.group[places], found)
+        return np.where(t.word == _U(END), self.of_group[end], found)
+
+
+def unit_bigrams(texts: DataFrame, units: Lexicon, n: int) -> np.ndarray:
+    """Dense matrix of how often unit j follows unit i; the result has n**2 numbers at most, whatever the input."""
+
+    def pairs(t: Tokens) -> np.ndarray:
+        at = units.groups(t, units.places(t.word))
+        return at[:-1] * n + at[1:]
+
+    got = _counted(texts, pairs).toArrow()
     matrix = np.zeros(n * n)
-    matrix[got["code"].to_numpy()] = got["n"].to_numpy()
+    matrix[got["key"].to_numpy()] = got["n"].to_numpy()
     return matrix.reshape(n, n)
 
 
@@ -203,47 +313,122 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return member
 
 
+def _gains(side: np.ndarray, other: np.ndarray, n: np.ndarray, starts: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Likelihood that each word brings to each class by its neighbours (side 0 follows the word, 1 precedes it): a row a word.
+
+    A word's own counts are taken out of its old class first; that neighbours of one class may be the word itself is left out of account.
+    """
+    rows = np.where(side[:, None] == 0, table.T[other], table[other])  # counts of each class with that neighbour
+    word = np.repeat(np.arange(len(starts)), np.diff([*starts, len(n)]))
+    line = np.arange(len(n))
+    rows[line, old[word]] = np.maximum(rows[line, old[word]] - n, 0)
+    gain = np.add.reduceat(_xlogx(rows + n[:, None]) - _xlogx(rows), starts, axis=0)
+    for s, total in ((0, table.sum(axis=1)), (1, table.sum(axis=0))):
+        uses = np.add.reduceat(np.where(side == s, n, 0), starts)
+        base = np.repeat(total[None, :], len(starts), axis=0)
+        base[np.arange(len(starts)), old] = np.maximum(base[np.arange(len(starts)), old] - uses, 0)
+        gain -= _xlogx(base + uses[:, None]) - _xlogx(base)
+    return gain
+
+
+def _moved(texts: DataFrame, lexicon: Lexicon, core: np.ndarray, classes: int, table: np.ndarray) -> np.ndarray:
+    """Classes of the held words after one pass of parallel exchange; words of ``core`` stay where they are."""
+    fixed = core | (lexicon.n < LEAST)
+
+    def beside(t: Tokens) -> np.ndarray:
+        place = lexicon.places(t.word)
+        group = lexicon.groups(t, place)
+        moves = (place >= 0) & ~fixed[place] & (t.word != _U(END))
+        at = np.flatnonzero(moves)  # never the first or the last token: those are end tokens
+        key = place[at] * 2 * classes
+        return np.concatenate([key + group[at + 1], key + classes + group[at - 1]])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+        def best(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            word, at = key // (2 * classes), key % (2 * classes)
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            old = lexicon.group[word[starts]]
+            gain = _gains(at // classes, at % classes, n.astype(np.float64), starts, old, table)[:, : classes - 1]
+            new = gain.argmax(axis=1)
+            line = np.arange(len(new))
+            stay = gain[line, new] <= gain[line, old] + 1e-9 * np.abs(gain[line, old])
+            return pa.record_batch([pa.array(word[starts]), pa.array(np.where(stay, old, new))], ["place", "class"])
+
+        for batch in batches:
+            key, n = (np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest))
+            if len(key) > 50_000:  # the last word may go on
+                cut = int(np.searchsorted(key, key[-1] // (2 * classes) * 2 * classes))
+                if cut:
+                    yield best(key[:cut], n[:cut])
+                key, n = key[cut:], n[cut:]
+            rest = [key, n]
+        if len(rest[0]):
+            yield best(*rest)
+
+    keys = _counted(texts, beside).withColumn("word", F.floor(F.col("key") / (2 * classes)))
+    got = keys.repartition("word").sortWithinPartitions("key").select("key", "n").mapInArrow(settled, "place long, class long").toArrow()
+    group = lexicon.group.copy()
+    group[got["place"].to_numpy()] = got["class"].to_numpy()
+    return group
+
+
 @dataclass
 class ClassModel:
-    unit_of: UnitOf
-    member: np.ndarray  # class of a unit
+    lexicon: Lexicon
+    table: np.ndarray  # how often a class follows another
     step: np.ndarray  # log10 P(class | class before) less log10 of the class's emission total
-    held: dict[bytes, int]
     tokens: int
     vocabulary: int
+    end: int  # training count of the end token
     counts: DataFrame  # of words that are not held
 
+    def class_of(self, word: bytes) -> int:
+        t = tokens_of([word])
+        return int(self.lexicon.groups(t, self.lexicon.places(t.word))[1])
+
 
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", units: int = UNITS, endings: int = ENDINGS, classes: int = CLASSES, held: int = HELD) -> ClassModel:
     """Counts, classes and probabilities from every document that isn't held out."""
     texts = df.where(~held_out(F.col(key))).select(utf8(F.col(text)).alias("text"))
     counts = stage(word_counts(texts), "words")
-    top = frequent_words(counts, held)
-    end = counts.where(F.length("word") == 0).first()
-    unit_of = UnitOf([w for w, _ in top if w != END][:units], endings)
-    bigrams = unit_bigrams(texts, unit_of)
+    end = counts.where(F.col("word") == END).first()
+    counts = counts.where(F.col("word") != END)
+    word, tail, n = frequent_words(counts, held)
+    top = min(units, len(word))
+    groups = np.arange(top, top + endings + 1)
+    first = Lexicon(word[:top], n[:top], np.arange(top), groups)
+    bigrams = unit_bigrams(texts, first, top + endings + 1)
     member = exchange(bigrams, classes)
-
-    def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(unit_of.n, np.int64), np.zeros(unit_of.n, np.int64)
-        for batch in batches:
-            at = np.array([unit_of[memoryview(w.as_buffer()).tobytes()] for w in batch.column(0)], np.int64)
-            n += np.bincount(at, weights=batch.column(1).to_numpy(), minlength=unit_of.n).astype(np.int64)
-            v += np.bincount(at, minlength=unit_of.n)
-        yield pa.record_batch([pa.array(np.arange(unit_of.n)), pa.array(n), pa.array(v)], ["unit", "n", "v"])
-
-    sums = counts.mapInArrow(by_unit, "unit long, n long, v long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
-    k = int(member.max()) + 1
-    of = member[sums["unit"].to_numpy(np.int64)]
-    n, v = np.bincount(of, weights=sums["n"], minlength=k), np.bincount(of, weights=sums["v"], minlength=k)
+    k = int(member.max()) + 1  # the end token's class is the last one
+    of_group = member[groups]
+    group = np.concatenate([member[:top], of_group[ending(tail[top:], endings)]])
+    lexicon = Lexicon(word, n, group, of_group)
+    core = np.isin(lexicon.word, word[:top])
     one = np.zeros((len(member), k))
     one[np.arange(len(member)), member] = 1
     table = one.T @ bigrams @ one
-    prior = (n + 1) / (n.sum() + k)
+    if (~core & (lexicon.n >= LEAST)).any():
+        for _ in range(ROUNDS):
+            lexicon.group = _moved(texts, lexicon, core, k, table)
+            table = unit_bigrams(texts, lexicon, k)
+    total = np.bincount(lexicon.group, weights=lexicon.n, minlength=k)
+    kinds = np.bincount(lexicon.group, minlength=k).astype(np.float64)
+    rare = counts.where(F.col("n") < int(n[-1])) if len(n) else counts
+    # words as frequent as the last held one may be held or not: the cut is between levels of counts, so all are held
+    rest = rare.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()  # 65,536 rows at most
+    if rest.num_rows:
+        of = of_group[ending(rest["tail"].to_numpy(), endings)]
+        total += np.bincount(of, weights=rest["n"].to_numpy(), minlength=k)
+        kinds += np.bincount(of, weights=rest["v"].to_numpy(), minlength=k)
+    ends = end["n"] if end else 0
+    total[k - 1] += ends
+    kinds[k - 1] += ends > 0
+    prior = (total + 1) / (total.sum() + k)
     to = (table + PULL * prior) / (table.sum(axis=1, keepdims=True) + PULL)
-    step = np.log10(to) - np.log10(n + ADD * (v + 1))
-    rare = counts.where(F.col("n") <= top[-1][1]) if top else counts  # a word may be held and here; then nobody asks for it
-    return ClassModel(unit_of, member, step, dict(top) | ({END: end["n"]} if end else {}), int(n.sum()), int(v.sum()), rare)
+    step = np.log10(to) - np.log10(total + ADD * (kinds + 1))
+    return ClassModel(lexicon, table, step, int(total.sum()), int(kinds.sum()), ends, rare)
 
 
 def score(df: DataFrame, model: ClassModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,43 +439,43 @@ def score(df: DataFrame, model: ClassModel, key: str = "doc_id", text: str = "te
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    sent = spark.sparkContext.broadcast((model.unit_of, model.member, model.step, model.held))
+    sent = spark.sparkContext.broadcast((model.lexicon, model.step, model.end))
+    names = ["doc_id", "k", "word", "times", "n_tokens", "n_known", "logs", "steps"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit_of, member, step, held = sent.value
-        unit, count = unit_of.__getitem__, held.get
-        end, end_n = unit_of[END], held.get(END, 0)
-        names = ["doc_id", "k", "word", "times", "n_tokens", "n_known", "logs", "steps"]
+        lexicon, step, end = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                source: list[int] = []
-                words: list[bytes] = []
-                times: list[int] = []
-                facts = []
-                for i, (k, content) in enumerate(zip(batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True)):
-                    tokens = words_of(content)
-                    path = member[np.array([end, *map(unit, tokens), end], np.int64)]
-                    n = np.array([end_n, *[x or 0 for x in map(count, tokens)]], np.float64)
-                    here = n > 0
-                    rare = Counter(w for w, x in zip(tokens, here[1:].tolist(), strict=True) if not x)
-                    logs = float(np.log10(n[here] + ADD).sum()) + (0.0 if end_n else float(np.log10(ADD)))
-                    source += [i] * (1 + len(rare))
-                    words += [b" %d" % k, *rare]  # no word has a space: the row of the document itself joins nothing
-                    times += [0, *rare.values()]
-                    facts.append((len(source) - 1 - len(rare), len(tokens) + 1, int(here.sum()), logs, float(step[path[:-1], path[1:]].sum())))
-                size = len(source)
-                own = np.array([f[0] for f in facts], np.int64)
-                columns = []
-                for j, dtype in ((1, np.int64), (2, np.int64), (3, np.float64), (4, np.float64)):
-                    column = np.zeros(size, dtype)
-                    column[own] = [f[j] for f in facts]
-                    columns.append(pa.array(column))
-                take = pa.array(source, pa.int64())
-                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(words, pa.binary()), pa.array(times, pa.int64()), *columns], names)
+            for batch, some in _texts(whole, 2):
+                t = tokens_of(some)
+                place = lexicon.places(t.word)
+                path = lexicon.groups(t, place)
+                is_end = t.word == _U(END)
+                n = np.where(is_end, end, lexicon.n[place] if len(lexicon.n) else 0) * ((place >= 0) | is_end)
+                before, last = t.first[:-1], t.first[1:]  # tokens of a text: after its leading end token, its closing one included
+                logs = np.where((place >= 0) | is_end, np.log10(n + ADD), 0.0)
+                steps = step[path[:-1], path[1:]]
+
+                def per_text(x: np.ndarray) -> np.ndarray:
+                    return np.add.reduceat(x, before)
+
+                # x[i] belongs to token i + 1, so that sums run from a text's first word to its closing end token
+                known, log_sum, step_sum = per_text((n > 0)[1:].astype(np.int64)), per_text(logs[1:]), per_text(steps)
+                other = np.flatnonzero((place < 0) & ~is_end)
+                doc = np.searchsorted(last, other)
+                order = np.lexsort((t.word[other], doc))
+                doc, word = doc[order], t.word[other][order]
+                cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, np.int64)
+                times = np.diff([*cut, len(doc)])
+                m, r = len(some), len(cut)
+                take = pa.array(np.concatenate([np.arange(m), doc[cut]]))
+                zeros = np.zeros(r)
+                words = pa.array(np.concatenate([np.zeros(m, np.int64), word[cut].view(np.int64)]), mask=np.concatenate([np.ones(m, bool), np.zeros(r, bool)]))
+                counted = [pa.array(np.concatenate([x, zeros.astype(np.int64)])) for x in (last - before, known)]
+                summed = [pa.array(np.concatenate([x, zeros])) for x in (log_sum, step_sum)]
+                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), words, pa.array(np.concatenate([np.zeros(m, np.int64), times])), *counted, *summed], names)
 
     rows = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("k"), utf8(F.col(text)).alias("text"))
-    rows = rows.mapInArrow(scored, f"doc_id {kind}, k long, word binary, times long, n_tokens long, n_known long, logs double, steps double")
+    rows = rows.mapInArrow(scored, f"doc_id {kind}, k long, word long, times long, n_tokens long, n_known long, logs double, steps double")
     met = rows.join(model.counts.select("word", F.col("n").alias("c")), "word", "left")
     c, times = F.coalesce("c", F.lit(0)), F.col("times")
     total = met.groupBy("doc_id", "k").agg(

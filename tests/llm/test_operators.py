@@ -133,23 +133,62 @@ def test_ids_of_near_copies(spark):
     assert [tuple(x) for x in neardup.first_of_each_group(clash).collect()] == [(1, BASE, 4, 5)]
 
 
-def test_brown_scores(docs, none):
-    model = brown.learn(docs, units=20, endings=8, classes=6, held=30)
+@pytest.mark.parametrize("held", [30, 100_000])
+def test_brown_scores(docs, none, held):
+    """Counts, classes and both scores against dictionaries; the words that aren't held meet their counts in a join."""
+    model = brown.learn(docs, units=20, endings=8, classes=6, held=held)
     rows = brown.score(docs, model).collect()
     assert len(rows) == len(ROWS)
-    c = collections.Counter()
+    words = lambda t: (t or "").encode().lower().split()
+    c, steps = collections.Counter(), collections.Counter()
+    of = lambda w: model.class_of(w) if w else len(model.step) - 1
     for i, t, *_ in ROWS:
         if zlib.crc32(str(i).encode()) % 10:
-            c.update([*(t or "").encode().lower().split(), b""])
-    n, v = sum(c.values()), len(c)
+            c.update([*words(t), b""])
+            path = [of(b""), *map(of, words(t)), of(b"")]
+            steps.update(zip(path[:-1], path[1:], strict=True))
+    n, v, k = sum(c.values()), len(c), len(model.step)
+    total, kinds = collections.Counter(), collections.Counter()
+    for w, x in c.items():
+        total[of(w)] += x
+        kinds[of(w)] += 1
+    after = collections.Counter()
+    for (a, _), x in steps.items():
+        after[a] += x
+
+    def log_p(a, w):
+        b = of(w)
+        to = (steps[a, b] + 10 * (total[b] + 1) / (n + k)) / (after[a] + 10)
+        return math.log10(to) + math.log10((c[w] + 0.1) / (total[b] + 0.1 * (kinds[b] + 1)))
+
     texts = {x[0]: x[1] for x in ROWS}
     for r in rows:
-        tokens = [*(texts[r.doc_id] or "").encode().lower().split(), b""]
+        tokens = [*words(texts[r.doc_id]), b""]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
-        assert r.score < 0
+        assert r.score == pytest.approx(sum(log_p(of(a), w) for a, w in zip([b"", *tokens[:-1]], tokens, strict=True)))
+        assert r.perplexity == pytest.approx(10 ** (-r.score / len(tokens)))
     empty = brown.learn(none, units=20, endings=8, classes=6)
     assert brown.score(none, empty).count() == 0
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in brown.score(docs, empty).collect())
+
+
+def test_own_neighbours_beat_endings(spark, monkeypatch):
+    """Words below the ``units`` most frequent are better foretold by classes of their own than by those of their endings."""
+    r = random.Random(4)
+    left, right = [f"l{i}x" for i in range(40)], [f"r{i}x" for i in range(40)]
+    often = [1 / (i + 1) for i in range(40)]
+    rows = [(i, " ".join(w for _ in range(20) for w in (*r.choices(left, often), *r.choices(right, often)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def unseen():
+        return sum(x.score for x in brown.score(df, brown.learn(df, units=24, endings=2, classes=4)).collect() if x.held_out)
+
+    own = unseen()
+    monkeypatch.setattr(brown, "LEAST", 1 << 40)
+    assert own > unseen()
+    words = brown.tokens_of([b"A bc a", b"", b"bc"])
+    assert words.first.tolist() == [0, 4, 5, 7] and words.word[1] == words.word[3] and words.word[2] == words.word[6] and words.word[4] == words.word[5] == 0
 
 
 def test_exchange_ends_where_no_move_gains():
