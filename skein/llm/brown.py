@@ -7,7 +7,7 @@ Every training document is counted, and words are known by 64-bit hashes of thei
 words and ``endings`` groups of all other words (by their last two bytes) are exchanged between classes on the
 driver, by their dense bigrams, while the likelihood grows. Then every other word that training documents hold
 ``LEAST`` times or more moves to the class that gains most by its own neighbours: ``ROUNDS`` passes, in which all such
-words move at once against the same class table; how many there are follows the corpus, and their neighbour counts stay a
+words move at once against the same class table, while the likelihood grows; how many there are follows the corpus, and their neighbour counts stay a
 distributed table. Rarer words and those never seen have the class of their ending. The ``held`` most frequent words
 (17 bytes each) are sent to the executors with count and class; the others meet their count in a join, and have the class of their
 ending: that bound on memory is the only one.
@@ -44,6 +44,8 @@ PULL = 10.0
 ADD = 0.1
 #: The end token's hash.
 END = 0
+#: Held words whose neighbour counts meet in one task.
+PART = 10_000
 #: Counted things that a task holds before it hands them on.
 FLUSH = 1_000_000
 
@@ -123,10 +125,16 @@ class _Sums:
         self.size = 0
 
     def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> None:
-        keys, of, times = np.unique(keys, return_inverse=True, return_counts=True)
-        self.parts.append((keys, times if n is None else np.bincount(of, weights=n).astype(np.int64)))
-        self.size += len(keys)
-        if self.size > 2 * FLUSH:
+        if n is None:
+            kinds, sums = np.unique(keys, return_counts=True)
+        else:
+            order = np.argsort(keys, kind="stable")
+            kinds, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])) if len(kinds) else np.zeros(0, np.int64)
+            kinds, sums = kinds[first], np.add.reduceat(n, first) if len(first) else n
+        self.parts.append((kinds, sums))
+        self.size += len(kinds)
+        if self.size > 4 * FLUSH:
             self.merge()
 
     def merge(self) -> None:
@@ -258,6 +266,11 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of a class table, but for what doesn't depend on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit. The last unit, the end, is alone in the last class; every other unit moves to the class
     that gains most likelihood, in the order of frequency, until a sweep moves none."""
@@ -332,8 +345,13 @@ def _gains(side: np.ndarray, other: np.ndarray, n: np.ndarray, starts: np.ndarra
 
 
 def _moved(texts: DataFrame, lexicon: Lexicon, core: np.ndarray, classes: int, table: np.ndarray) -> np.ndarray:
-    """Classes of the held words after one pass of parallel exchange; words of ``core`` stay where they are."""
+    """Classes of the held words after one pass of parallel exchange; words of ``core`` stay where they are.
+
+    Each task sums the neighbours of its words and sends them as sorted runs, one for each ``PART`` held words, whose sums then meet in one task:
+    a word has as many sums as there are classes on its two sides, however frequent it is.
+    """
     fixed = core | (lexicon.n < LEAST)
+    span = 2 * classes * PART
 
     def beside(t: Tokens) -> np.ndarray:
         place = lexicon.places(t.word)
@@ -343,32 +361,56 @@ def _moved(texts: DataFrame, lexicon: Lexicon, core: np.ndarray, classes: int, t
         key = place[at] * 2 * classes
         return np.concatenate([key + group[at + 1], key + classes + group[at - 1]])
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            sums.merge()
+            for keys, n in sums.parts:
+                part = keys // span
+                for at in np.split(np.arange(len(keys)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+                    if len(at):
+                        yield pa.record_batch([pa.array(part[at[:1]], pa.int32()), pa.array([(keys[at] % span).astype(np.uint32).tobytes()]), pa.array([n[at].astype(np.uint32).tobytes()])], ["part", "keys", "n"])
+            sums.parts, sums.size = [], 0
+
+        for whole in batches:
+            for _, some in _texts(whole, 0):
+                sums.add(beside(tokens_of(some)))
+                if sums.size > 2 * FLUSH:
+                    yield from out()
+        yield from out()
+
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-
-        def best(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            word, at = key // (2 * classes), key % (2 * classes)
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            old = lexicon.group[word[starts]]
-            gain = _gains(at // classes, at % classes, n.astype(np.float64), starts, old, table)[:, : classes - 1]
-            new = gain.argmax(axis=1)
-            line = np.arange(len(new))
-            stay = gain[line, new] <= gain[line, old] + 1e-9 * np.abs(gain[line, old])
-            return pa.record_batch([pa.array(word[starts]), pa.array(np.where(stay, old, new))], ["place", "class"])
+        part, sums = -1, _Sums()
+
+        def best() -> Iterator[pa.RecordBatch]:
+            sums.merge()
+            for key, n in sums.parts:
+                for lo in range(0, span, 2 * classes * 1000):  # a thousand words at a time
+                    a, b = np.searchsorted(key, [lo, lo + 2 * classes * 1000])
+                    if a == b:
+                        continue
+                    word, at = key[a:b] // (2 * classes) + part * PART, key[a:b] % (2 * classes)
+                    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                    old = lexicon.group[word[starts]]
+                    gain = _gains(at // classes, at % classes, n[a:b].astype(np.float64), starts, old, table)[:, : classes - 1]
+                    new = gain.argmax(axis=1)
+                    line = np.arange(len(new))
+                    stay = gain[line, new] <= gain[line, old] + 1e-9 * np.abs(gain[line, old])
+                    yield pa.record_batch([pa.array(word[starts], pa.int32()), pa.array(np.where(stay, old, new), pa.int16())], ["place", "class"])
+            sums.parts, sums.size = [], 0
 
         for batch in batches:
-            key, n = (np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest))
-            if len(key) > 50_000:  # the last word may go on
-                cut = int(np.searchsorted(key, key[-1] // (2 * classes) * 2 * classes))
-                if cut:
-                    yield best(key[:cut], n[:cut])
-                key, n = key[cut:], n[cut:]
-            rest = [key, n]
-        if len(rest[0]):
-            yield best(*rest)
-
-    keys = _counted(texts, beside).withColumn("word", F.floor(F.col("key") / (2 * classes)))
-    got = keys.repartition("word").sortWithinPartitions("key").select("key", "n").mapInArrow(settled, "place long, class long").toArrow()
+            for p, keys, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if p != part:
+                    yield from best()
+                    part = p
+                keys, n = (np.frombuffer(memoryview(x.as_buffer()), np.uint32).astype(np.int64) for x in (keys, n))
+                sums.add(keys, n)
+        yield from best()
+
+    cut = texts.mapInArrow(runs, "part int, keys binary, n binary")
+    got = cut.repartition("part").sortWithinPartitions("part").mapInArrow(settled, "place int, class short").toArrow()
     group = lexicon.group.copy()
     group[got["place"].to_numpy()] = got["class"].to_numpy()
     return group
@@ -411,8 +453,12 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", units: int = U
     table = one.T @ bigrams @ one
     if (~core & (lexicon.n >= LEAST)).any():
         for _ in range(ROUNDS):
-            lexicon.group = _moved(texts, lexicon, core, k, table)
-            table = unit_bigrams(texts, lexicon, k)
+            before, lexicon.group = lexicon.group, _moved(texts, lexicon, core, k, table)
+            after = unit_bigrams(texts, lexicon, k)
+            if likelihood(after) <= likelihood(table):  # all at once, words can move too far
+                lexicon.group = before
+                break
+            table = after
     total = np.bincount(lexicon.group, weights=lexicon.n, minlength=k)
     kinds = np.bincount(lexicon.group, minlength=k).astype(np.float64)
     rare = counts.where(F.col("n") < int(n[-1])) if len(n) else counts

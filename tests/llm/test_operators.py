@@ -186,7 +186,8 @@ def test_own_neighbours_beat_endings(spark, monkeypatch):
 
     own = unseen()
     monkeypatch.setattr(brown, "LEAST", 1 << 40)
-    assert own > unseen()
+    other = unseen()
+    assert own > other, (own, other)
     words = brown.tokens_of([b"A bc a", b"", b"bc"])
     assert words.first.tolist() == [0, 4, 5, 7] and words.word[1] == words.word[3] and words.word[2] == words.word[6] and words.word[4] == words.word[5] == 0
 
