@@ -44,10 +44,10 @@ PULL = 10.0
 ADD = 0.1
 #: The end token's hash.
 END = 0
-#: Held words whose neighbour counts meet in one task.
-PART = 10_000
+#: Training tokens whose neighbour counts meet in one task, about.
+PART_TOKENS = 2_000_000
 #: Counted things that a task holds before it hands them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 _U = np.uint64
 _BASE = 0xA24BAED4963EE407
@@ -347,11 +347,12 @@ def _gains(side: np.ndarray, other: np.ndarray, n: np.ndarray, starts: np.ndarra
 def _moved(texts: DataFrame, lexicon: Lexicon, core: np.ndarray, classes: int, table: np.ndarray) -> np.ndarray:
     """Classes of the held words after one pass of parallel exchange; words of ``core`` stay where they are.
 
-    Each task sums the neighbours of its words and sends them as sorted runs, one for each ``PART`` held words, whose sums then meet in one task:
-    a word has as many sums as there are classes on its two sides, however frequent it is.
+    Each task sums the neighbours of its words and sends them as sorted runs, one for so many held words as have about ``PART_TOKENS`` tokens,
+    whose sums then meet in one task: a word has as many sums as there are classes on its two sides, however frequent it is.
     """
     fixed = core | (lexicon.n < LEAST)
-    span = 2 * classes * PART
+    size = max(1, len(lexicon.word) * PART_TOKENS // max(1, int(lexicon.n[~fixed].sum())))
+    span = 2 * classes * size
 
     def beside(t: Tokens) -> np.ndarray:
         place = lexicon.places(t.word)
@@ -390,7 +391,7 @@ def _moved(texts: DataFrame, lexicon: Lexicon, core: np.ndarray, classes: int, t
                     a, b = np.searchsorted(key, [lo, lo + 2 * classes * 1000])
                     if a == b:
                         continue
-                    word, at = key[a:b] // (2 * classes) + part * PART, key[a:b] % (2 * classes)
+                    word, at = key[a:b] // (2 * classes) + part * size, key[a:b] % (2 * classes)
                     starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
                     old = lexicon.group[word[starts]]
                     gain = _gains(at // classes, at % classes, n[a:b].astype(np.float64), starts, old, table)[:, : classes - 1]
