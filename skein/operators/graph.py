@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -89,6 +89,18 @@ def clustering(edges: DataFrame) -> DataFrame:
     return local.agg(F.count("*").alias("nodes"), F.avg("c").alias("clustering"))
 
 
-def ranked(rows: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
-    """Unique 1-based ranks of an aggregated table."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*by)))
+def weighted_degrees(rows: DataFrame, *keep: str) -> DataFrame:
+    """Sums of syn_count over a node's rows out, in and both; a loop counts in all of them."""
+    ends = F.array(F.struct(F.col("src").alias("node"), F.col("syn_count").alias("o"), F.lit(0).cast("long").alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).cast("long").alias("o"), F.col("syn_count").alias("i")))
+    per = rows.select(*keep, F.explode(ends).alias("e")).groupBy(*keep, "e.node").agg(F.sum("e.o").alias("weighted_out"), F.sum("e.i").alias("weighted_in"))
+    return per.withColumn("weighted", F.col("weighted_out") + F.col("weighted_in"))
+
+
+def within_two_hops(edges: DataFrame, node: int) -> DataFrame:
+    """(node, hop) of the neighbours of a node and of theirs, whatever the direction; each at its least hop, the node itself at 0."""
+    near = without_loops(edges).select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*").distinct()
+    one = near.where(F.col("src") == node).select(F.col("dst").alias("node"))
+    two = near.join(one.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"))
+    start = nodes_of(edges).where(F.col("node") == node).select("node", F.lit(0).alias("hop"))
+    every = start.unionByName(one.withColumn("hop", F.lit(1))).unionByName(two.withColumn("hop", F.lit(2)))
+    return every.groupBy("node").agg(F.min("hop").alias("hop"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import type_or_untyped
 from skein.operators import graph as g
 from skein.operators.components import components
+from skein.plans.numbering import numbered
+from skein.sinks.tables import ranked_sizes
 from skein.sources.edges import annotations, edges_of, succession
 
 E = """rows0 AS (SELECT l_returnflag AS graph, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS dst,
@@ -63,10 +65,10 @@ def in_out_distinct_degree(spark, d):
     return g.distinct_degrees(edges_of(spark, d, "A"))
 
 
-@query("SELECT node, sum(syn_count)::BIGINT AS weighted FROM (SELECT src AS node, syn_count FROM rows1 UNION ALL SELECT dst, syn_count FROM rows1) GROUP BY node")
+@query("""SELECT graph, node, sum(CASE WHEN o THEN syn_count ELSE 0 END)::BIGINT AS weighted_out, sum(CASE WHEN o THEN 0 ELSE syn_count END)::BIGINT AS weighted_in, sum(syn_count)::BIGINT AS weighted
+FROM (SELECT graph, src AS node, syn_count, true AS o FROM rows1 UNION ALL SELECT graph, dst, syn_count, false FROM rows1) GROUP BY graph, node""")
 def weighted_degree(spark, d):
-    ends = succession(spark, d).select(F.explode(F.array("src", "dst")).alias("node"), "syn_count")
-    return ends.groupBy("node").agg(F.sum("syn_count").alias("weighted"))
+    return g.weighted_degrees(succession(spark, d), "graph")
 
 
 @query("""SELECT src, dst, sum(n)::BIGINT AS rows, sum(s)::BIGINT AS syn_count, arg_min(neuropil, (-n, neuropil)) AS neuropil
@@ -113,8 +115,7 @@ def pair_missing_extra(spark, d):
 
 @query("SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY node) - 1 AS idx FROM nodes")
 def index_map(spark, d):
-    nodes = g.nodes_of(edges_of(spark, d), "graph")
-    return nodes.withColumn("idx", (F.row_number().over(Window.partitionBy("graph").orderBy("node")) - 1).cast("long"))
+    return numbered(g.nodes_of(edges_of(spark, d), "graph"), ["graph"], ["node"])
 
 
 _WCC = """und AS (SELECT src AS a, dst AS b FROM ea UNION SELECT dst, src FROM ea),
@@ -129,8 +130,7 @@ def wcc_assign(spark, d):
 
 @query(f"SELECT * FROM (WITH RECURSIVE {_WCC} SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS rank FROM wcc GROUP BY component)")
 def wcc_sizes(spark, d):
-    sizes = wcc_assign(spark, d).groupBy("component").agg(F.count("*").alias("size"))
-    return g.ranked(sizes, [F.desc("size"), F.asc("component")]).withColumn("rank", F.col("rank").cast("long"))
+    return ranked_sizes(wcc_assign(spark, d))
 
 
 @query(f"SELECT * FROM (WITH RECURSIVE {_WCC}, s AS (SELECT component, count(*) AS size FROM wcc GROUP BY component) SELECT count(*) AS components, count_if(size = 1)::BIGINT AS singletons, max(size) AS largest, max(size) / sum(size) AS fraction FROM s)")
@@ -172,12 +172,10 @@ def graph_density(spark, d):
     return n.join(m, "graph").withColumn("density", g.density(F.col("m"), F.col("n")))
 
 
-@query("""SELECT DISTINCT node, hop FROM (SELECT dst AS node, 1 AS hop FROM ea WHERE src = 1 UNION SELECT b.dst, 2 FROM ea a JOIN ea b ON a.dst = b.src WHERE a.src = 1)""")
+@query("""SELECT node, min(hop) AS hop FROM (WITH near AS (SELECT src AS a, dst AS b FROM ea WHERE src <> dst UNION SELECT dst, src FROM ea WHERE src <> dst)
+SELECT node, 0 AS hop FROM nodes WHERE graph = 'A' AND node = 1 UNION ALL SELECT b, 1 FROM near WHERE a = 1 UNION ALL SELECT y.b, 2 FROM near x JOIN near y ON x.b = y.a WHERE x.a = 1) GROUP BY node""")
 def two_hop(spark, d):
-    e = edges_of(spark, d, "A")
-    one = e.where("src = 1").select(F.col("dst").alias("node"), F.lit(1).alias("hop"))
-    two = e.join(one.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"), F.lit(2).alias("hop"))
-    return one.unionByName(two).distinct()
+    return g.within_two_hops(edges_of(spark, d, "A"), 1)
 
 
 @query("""SELECT a.graph AS left_graph, b.graph AS right_graph, a.n AS left_nodes, b.n AS right_nodes FROM (SELECT graph, count(*) AS n FROM nodes GROUP BY graph) a JOIN (SELECT graph, count(*) AS n FROM nodes GROUP BY graph) b ON a.graph < b.graph""")

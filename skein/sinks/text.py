@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.graph import nodes_of, without_loops
 from skein.operators.sampling import neighbours
+from skein.plans.numbering import numbered
 from skein.plans.staging import stage
 
 
 def placed(nodes: DataFrame, first: int = 1) -> DataFrame:
-    """(node, idx): places by ascending id from ``first``; range parts are counted, then numbered side by side."""
-    parts = stage(nodes.select("node").distinct().repartitionByRange("node").select("node", F.spark_partition_id().alias("part")), "parts")
-    counts = parts.groupBy("part").agg(F.count("*").alias("n"))  # one row per part
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1 + F.col("start") + first
-    return parts.join(F.broadcast(starts), "part").select("node", place.cast("long").alias("idx"))
+    """(node, idx): places by ascending id from ``first``."""
+    return numbered(nodes.select("node").distinct(), [], ["node"], "idx", first)
 
 
 def dimacs_lines(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

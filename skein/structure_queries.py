@@ -10,10 +10,12 @@ from skein.operators import common_subgraph as mcs
 from skein.operators import graph as g
 from skein.operators import sampling as sample
 from skein.operators import strong
+from skein.plans.numbering import numbered
 from skein.plans.staging import stage
 from skein.queries import QUERIES as QUERIES
 from skein.queries import SQL as SQL
 from skein.queries import _nodeset, common_nodes, query, wcc_assign
+from skein.sinks.tables import ranked_sizes
 from skein.sources.edges import annotations, edges_of, succession
 
 #: Sample sizes of the registered samplers and solver jobs: parameters of the sampling operators.
@@ -46,8 +48,7 @@ def scc_assign(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_inner(_SCC, "SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS rank FROM scc GROUP BY component"))
 def scc_sizes(spark, d):
-    sizes = scc_assign(spark, d).groupBy("component").agg(F.count("*").alias("size"))
-    return g.ranked(sizes, [F.desc("size"), F.asc("component")]).withColumn("rank", F.col("rank").cast("long"))
+    return ranked_sizes(scc_assign(spark, d))
 
 
 @query(_inner(_SCC, "SELECT count(*) AS components, count_if(size = 1)::BIGINT AS singletons, max(size) AS largest, max(size) / sum(size) AS fraction FROM (SELECT count(*) AS size FROM scc GROUP BY component)"))
@@ -237,10 +238,11 @@ def triplet_jobs(spark, d):
 (SELECT graph AS job, src AS node, count(*) AS score, (count(*) % 2)::INT AS valid, row_number() OVER (PARTITION BY graph ORDER BY count(*) DESC, src) AS rank FROM edges GROUP BY graph, src)) WHERE before < 5""")
 def topk_valid_incumbents(spark, d):
     """Ranked candidates of a job until five valid ones came; earlier invalid ones are listed too."""
-    by = Window.partitionBy("job").orderBy(F.desc("score"), "node")
-    rows = edges_of(spark, d).groupBy(F.col("graph").alias("job"), F.col("src").alias("node")).agg(F.count("*").alias("score")).withColumn("rank", F.row_number().over(by).cast("long"))
-    before = F.sum(F.col("score") % 2).over(Window.partitionBy("job").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", F.coalesce(before, F.lit(0))).where("before < 5").select("job", "node", "score", "rank")
+    rows = edges_of(spark, d).groupBy(F.col("graph").alias("job"), F.col("src").alias("node")).agg(F.count("*").alias("score"))
+    ranks = stage(numbered(rows.withColumn("neg", -F.col("score")), ["job"], ["neg", "node"], "rank", 1), "ranks")
+    valid = numbered(ranks.where("score % 2 = 1").select("job", "rank"), ["job"], ["rank"], "nth", 1)
+    last = valid.where("nth = 5").select("job", F.col("rank").alias("last"))
+    return ranks.join(F.broadcast(last), "job", "left").where("last is null or rank <= last").select("job", "node", "score", "rank")
 
 
 @query("SELECT n.node, p_brand AS sub_class FROM nodes n JOIN part ON p_partkey = n.node WHERE n.graph = 'A' AND p_brand IN ('Brand#11', 'Brand#22')")
