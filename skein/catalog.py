@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein import structure_queries, verification_queries
+from skein import source_queries, structure_queries, summary_queries, verification_queries
 from skein.queries import QUERIES, SQL
 
-MODULES = (structure_queries, verification_queries)
+MODULES = (structure_queries, verification_queries, summary_queries, source_queries)
 
 __all__ = ["MODULES", "QUERIES", "SQL"]

@@ -54,8 +54,8 @@ def ids_text(ids: Column) -> Column:
 
 
 def fixed_ratio(part: Column, whole: Column, digits: int = 6) -> Column:
-    """A ratio as text with ``digits`` decimals; 0 of nothing."""
-    return F.format_string(f"%.{digits}f", F.when(whole != 0, part / whole).otherwise(F.lit(0.0)))
+    """A ratio as text with ``digits`` decimals, halves to even; 0 of nothing."""
+    return F.format_string(f"%.{digits}f", F.bround(F.when(whole != 0, part / whole).otherwise(F.lit(0.0)), digits))
 
 
 def fold(part: Column, background: Column) -> Column:

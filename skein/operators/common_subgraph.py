@@ -111,3 +111,23 @@ def best_mapping(incumbents: DataFrame) -> DataFrame:
 def edge_list(edges: DataFrame, name: str) -> DataFrame:
     """All edges of a bounded sample as one row with one array."""
     return edges.agg(F.array_sort(F.collect_set(F.struct("src", "dst"))).alias(name))
+
+
+def match_many(graphs: list[tuple[str, DataFrame]], branches: int = BRANCHES) -> DataFrame:
+    """(pos, graph, node) of a common induced subgraph of several samples by name: what the first two share is searched in the next one.
+
+    Each search's pattern is what is left of the first sample; the mappings of the others follow it.
+    """
+    (name, first), *others = graphs
+    from skein.operators.graph import induced, nodes_of, without_loops
+    from skein.plans.staging import stage
+
+    pattern = without_loops(first)
+    corr = nodes_of(first).select(F.col("node").alias("key"), F.lit(name).alias("graph"), "node")
+    for other, edges in others:
+        jobs = edge_list(pattern, "left_edges").join(edge_list(without_loops(edges), "right_edges")).select(F.lit(other).alias("job"), "*")
+        found = stage(best_mapping(solve_jobs(jobs, branches)), "match")
+        corr = corr.join(found.select(F.col("l").alias("key")), "key", "left_semi").unionByName(found.select(F.col("l").alias("key"), F.lit(other).alias("graph"), F.col("r").alias("node")))
+        pattern = stage(induced(pattern, found.select(F.col("l").alias("node"))), "pattern")
+    last = found.select(F.col("l").alias("key"), "pos")
+    return corr.join(last, "key").select("pos", "graph", "node")

@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+_STAGED: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is made only where the session names none, as in tests."""
+    """The folder in spark.checkpoint.dir. Where the session names none, a local master gets a temporary one; a cluster must name a shared one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="skein-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def unstage(spark: SparkSession) -> int:
+    """Delete the tables that this process has staged; how many there were. For the end of a run: results that read them must be written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    for name in _STAGED:
+        path(name).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(name), True)
+    n = len(_STAGED)
+    _STAGED.clear()
+    return n
+
+
 def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", codec).parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     return spark.read.schema(schema).parquet(path)

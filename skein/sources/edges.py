@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.sources.files import mapping_places
+
 GRAPHS = ("A", "N", "R")
 
 
@@ -16,24 +18,14 @@ def read_edge_list(spark: SparkSession, path: str, src: str = "source neuron id"
     return raw.select(F.col(src).cast("bigint").alias("src"), F.col(dst).cast("bigint").alias("dst"))
 
 
-def read_edge_list_by_position(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) from the first two cells of each line after the first; shorter lines are skipped."""
-    cells = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    a, b = cells.columns[:2]
-    return cells.where(F.col(f"`{b}`").isNotNull()).select(F.col(f"`{a}`").cast("bigint").alias("src"), F.col(f"`{b}`").cast("bigint").alias("dst"))
-
-
 def read_node_list(spark: SparkSession, path: str) -> DataFrame:
     """(node) of a text file with one id a line; blank lines are skipped."""
     return spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").select(F.col("v").cast("bigint").alias("node"))
 
 
 def read_mapping(spark: SparkSession, path: str, graphs: int = 2) -> DataFrame:
-    """(pos, graph, node): the first columns of a mapping, whose header names the graphs, in long form."""
-    wide = spark.read.option("header", True).csv(path)
-    names = wide.columns[:graphs]
-    rows = wide.select(*[F.col(f"`{n}`") for n in names], F.monotonically_increasing_id().alias("pos"))
-    return rows.unpivot("pos", [f"`{n}`" for n in names], "graph", "v").select("pos", "graph", F.expr("try_cast(v AS bigint)").alias("node"))
+    """(pos, graph, node): the first columns of a mapping, whose header names the graphs, in long form; pos is the row's place in the file."""
+    return mapping_places(spark, path, graphs)
 
 
 def succession(spark: SparkSession, sf_dir: str) -> DataFrame:

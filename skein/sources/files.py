@@ -23,7 +23,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def cells_of(line: Column) -> Column:
     """Cells of a comma-separated line without quotes, trimmed."""
-    return F.transform(F.split(line, ","), F.trim)
+    return F.transform(F.split(line, ","), lambda x: F.trim(x))
 
 
 def graph_name(file: Column) -> Column:
@@ -90,10 +90,10 @@ def found_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 
 def large_components(spark: SparkSession, path: str, least: int = 141) -> DataFrame:
-    """(graph, component_id, size) of component files "<graph>.wcc_components.csv", from ``least`` nodes on."""
-    rows = spark.read.option("header", True).option("pathGlobFilter", "*.wcc_components.csv").csv(path).select("*", F.col("_metadata.file_name").alias("file"))
-    named = rows.select(F.regexp_replace("file", r"\.wcc_components\.csv$", "").alias("graph"), F.col("component_id").cast("bigint").alias("component_id"), F.col("size").cast("bigint").alias("size"))
-    return named.where(F.col("size") >= least)
+    """(graph, component_id, size) of component files or folders "<graph>.wcc_components.csv" below ``path``, from ``least`` nodes on."""
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path).select("*", F.col("_metadata.file_path").alias("file"))
+    named = rows.select(F.regexp_extract("file", r"([^/]+)\.wcc_components\.csv", 1).alias("graph"), F.col("component_id").cast("bigint").alias("component_id"), F.col("size").cast("bigint").alias("size"))
+    return named.where((F.col("size") >= least) & (F.col("graph") != ""))
 
 
 def component_nodes(assignments: DataFrame, component: int) -> DataFrame:

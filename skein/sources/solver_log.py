@@ -20,7 +20,7 @@ def log_blocks(lines: DataFrame, *job: str) -> DataFrame:
     starts = F.col("value").rlike(METRICS) & (F.size(fields) >= METRIC_FIELDS)
     turn = Window.partitionBy(*job).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = lines.withColumn("starts", starts).withColumn("block", F.sum(F.col("starts").cast("long")).over(turn)).where("block > 0")
-    metrics = F.max(F.when(F.col("starts"), F.transform(fields, F.trim)))
+    metrics = F.max(F.when(F.col("starts"), F.transform(fields, lambda x: F.trim(x))))
     at = F.struct("line_no", F.regexp_extract("value", PAIR, 1).try_cast("bigint").alias("l"), F.regexp_extract("value", PAIR, 2).try_cast("bigint").alias("r"))
     pairs = F.array_sort(F.collect_list(F.when(F.col("value").rlike(PAIR), at)))
     found = rows.groupBy(*job, "block").agg(metrics.alias("metrics"), pairs.alias("p"))

@@ -7,7 +7,7 @@ import __spark_entry__
 from skein.operators import components as c
 from skein.operators import graph as g
 from skein.sources import edges as s
-from skein.structure_queries import QUERIES, SQL
+from skein.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def test_entry_has_rows(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "part"):
+    for t in ("lineitem", "part", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rel = con.sql(SQL[name])
     got = QUERIES[name](spark, SF).select(*rel.columns).collect()
