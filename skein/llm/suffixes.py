@@ -11,9 +11,14 @@ any other; windows within that reach are compared by content, and those that occ
 Seeds that occur more than ``HOT`` times are not gathered: each unit of texts lists its windows by content hash, equal ones
 in one row, rows are counted by hash, and those that occur twice go back to their unit to be joined to spans. Copies of a whole text are one text that covers itself.
 
+Beside the removal stands ``passage``: whether a text has a run of over 50 words in common with a different text, however few
+bytes that is. Of every ``PASSAGE`` words in a row the ``GRAM`` adjoining ones that hash least are looked up, so
+no such run is missed; runs from GRAM words on may be told too.
+
 Cases: a null or empty text has nothing to remove; texts shorter than LENGTH neither; matches never cross
 documents; a string that repeats inside one document counts, overlapping itself or not; equal rows are
-copies of each other; a null id is an id; extra columns don't matter.
+copies of each other; a null id is an id; a text of any length counts whole (beyond a megabyte in sweeps that overlap); of seeds that
+hash alike the leftmost is the anchor; an empty table stays empty; extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ SEED = 64
 HOT = 4000
 ITEMS_PER_PART = 4_000
 RUN_BYTES = 16 << 20
+#: Words of a passage that is told, and of the runs of words that are looked up.
+PASSAGE, GRAM = 51, 40
 #: Windows of hot seeds in a unit.
 UNIT_WINDOWS = 1 << 20
 
@@ -95,6 +102,26 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def grams(text: bytes) -> np.ndarray:
+    """Hashes of the runs of GRAM words that are looked up for one text: the least of each PASSAGE words, once each."""
+    at = np.frombuffer(b" " + text + b" ", np.uint8)
+    space = _SPACE[at]
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    if len(starts) < PASSAGE:
+        return np.zeros(0, _U)
+    sums = _sums(at)
+    up, down = _powers(len(at) + 1)
+    word = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    run = np.concatenate([np.zeros(1, _U), np.cumsum(word * up[: len(word)])])
+    n = len(word) - GRAM + 1
+    gram = _mix(_mix((run[GRAM:] - run[:n]) * down[:n]))
+    return np.unique(np.lib.stride_tricks.sliding_window_view(gram, PASSAGE - GRAM + 1).min(axis=1))
+
+
 def common(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix, of which ``known`` bytes need no comparing."""
     n = min(len(a), len(b))
@@ -228,20 +255,22 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, n_bytes, seeds, places, los, his) per row."""
+    """(doc_id, mark, n_bytes, seeds, places, los, his, grams) per row."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [anchors(memoryview(x.as_buffer()).tobytes()) for x in batch.column(1)]
+                texts = [memoryview(x.as_buffer()).tobytes() for x in batch.column(1)]
+                found = [anchors(x) for x in texts]
                 columns = [pa.array([x.view(np.int64) for x, *_ in found], pa.list_(pa.int64()))]
                 columns += [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (1, 2, 3)]
-                sizes = pa.array([x.as_buffer().size for x in batch.column(1)], pa.int64())
-                yield pa.record_batch([batch.column(0), batch.column(2), sizes, *columns], ["doc_id", "mark", "n_bytes", "seeds", "places", "los", "his"])
+                sizes = pa.array([len(x) for x in texts], pa.int64())
+                told = pa.array([grams(x).view(np.int64) for x in texts], pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column(0), batch.column(2), sizes, *columns, told], ["doc_id", "mark", "n_bytes", "seeds", "places", "los", "his", "grams"])
 
     kind = df.schema[key].dataType.simpleString()
-    schema = f"doc_id {kind}, mark binary, n_bytes long, seeds array<long>, places array<int>, los array<int>, his array<int>"
+    schema = f"doc_id {kind}, mark binary, n_bytes long, seeds array<long>, places array<int>, los array<int>, his array<int>, grams array<long>"
     return _texts(df, key, text).mapInArrow(scanned, schema)
 
 
@@ -355,14 +384,22 @@ def covered(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     return stage(spans.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
 
 
+def with_passages(rows: DataFrame) -> DataFrame:
+    """(mark) of the texts that share a looked-up run of words with a different text, from ``rows`` of scan()."""
+    found = rows.select("mark", F.explode("grams").alias("gram"))
+    twice = found.groupBy("gram").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("gram")
+    return found.join(twice, "gram", "left_semi").select("mark").distinct()
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256, the digest of what is left."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (the digest of what is left) and passage."""
     rows = stage(scan(df, key, text), "anchors")
     copies = rows.groupBy("mark").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("size"))
     copies = stage(copies.where(f"copies > 1 and size >= {LENGTH}").select("mark"), "copies")
     spans = covered(df, rows, key, text)
     # one table, one join: texts with very many copies are then split by adaptive execution
-    effect = stage(spans.join(copies.withColumn("gone", F.lit(True)), "mark", "full"), "effect")
+    told = with_passages(rows).withColumn("passage", F.lit(True))
+    effect = stage(spans.join(copies.withColumn("gone", F.lit(True)), "mark", "full").join(told, "mark", "full"), "effect")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,8 +415,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 rest = b"".join([*left, content[end:]])
                 out.append((len(content), len(content) - len(rest), n, hashlib.sha256(rest).hexdigest()))
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.record_batch([batch.column(0), *[pa.array([x[i] for x in out], pa.string() if i == 3 else pa.int64()) for i in range(4)]], ["doc_id", *names])
+            passage = batch.column(4).fill_null(False)
+            yield pa.record_batch([batch.column(0), *[pa.array([x[i] for x in out], pa.string() if i == 3 else pa.int64()) for i in range(4)], passage], ["doc_id", *names, "passage"])
 
     kind = df.schema[key].dataType.simpleString()
     whole = _texts(df, key, text).join(effect, "mark", "left")
-    return whole.select("doc_id", "text", "spans", "gone").mapInArrow(kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return whole.select("doc_id", "text", "spans", "gone", "passage").mapInArrow(kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage boolean")
