@@ -13,8 +13,9 @@ counts. Of items of three and four words any two agreeing words within three are
 
 Words are the lower-cased runs of non-space characters.
 
-Cases: null or empty texts and items agree with nothing; repeated items count once each by item_id;
-rows with equal doc_id are judged together; a null doc_id is an id; extra columns don't matter.
+Cases: null or empty texts and items agree with nothing; texts of any length count whole; items that share an item_id are
+one item, each text of which counts; rows are judged by id and text, so rows that share an id (null included) don't touch each other;
+of items that agree alike the least item_id is told; empty tables give no overlaps; extra columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import BROADCAST_ROWS, SPACES
+from skein.llm.common import SPACES, fresh_name
 
 #: Fixed masks: the offsets that count.
 MASKS = tuple((0, a, b) for b in range(2, 5) for a in range(1, b))
 #: Masks of items of three and four words.
 SHORT_MASKS = ((0, 1), (0, 2))
 SPAN = 13
+#: Seeds of the benchmark, with the words of their items, are sent to all executors up to so many bytes.
+BROADCAST_BYTES = 48 << 20
 
 
 def word_hashes(text: Column) -> Column:
@@ -56,9 +59,9 @@ def seeds(df: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> DataF
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, item_share: float = 0.6, near: int = 11, span: int = SPAN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, agree, share) for each overlap of a document and an item that counts as contamination.
+    """(doc_id, mark, item_id, agree, share) for each overlap of a document and an item that counts as contamination; mark is a hash of the document's text.
 
-    Documents are not shuffled as long as the counted seeds of the benchmark are within the broadcast
+    Documents are not shuffled as long as the counted bytes of the benchmark's seeds are within the broadcast
     bound; beyond it the join shuffles seeds by hash, and skewed seeds are split by adaptive execution.
     """
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0)
@@ -68,17 +71,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, item_share: float = 0.6, nea
     known = reduce(DataFrame.unionByName, [seeds(items.where(these), list(masks), ["item_id"]) for these, masks in sizes])
     masks = sorted({m for _, masks in sizes for m in masks})
     known = known.select("seed", "item_id", F.col("h").alias("item"), F.col("at").alias("item_at"))
-    count = known.count()
-    rows = docs.select(F.col(key).alias("doc_id"), word_hashes(F.col(text)).alias("h"))
-    hits = seeds(rows, masks, ["doc_id"]).join(F.broadcast(known) if count <= BROADCAST_ROWS else known, "seed")
+    size = known.agg(F.sum(8 * F.size("item") + 64)).first()[0] or 0
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), word_hashes(F.col(text)).alias("h"))
+    hits = seeds(rows, masks, ["doc_id", "mark"]).join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "seed")
 
     # Up to here all is one generated loop over positions: nothing but a hit leaves it, with the words beside the item
     # only. Higher-order functions would break the loop, so they wait until hits of one alignment are merged.
     start = F.col("at") - F.col("item_at")  # where the item's first word would stand
     skipped = F.greatest(F.lit(0), -start)
     length = F.least(F.size("item"), F.size("h") - start) - skipped
-    hits = hits.select("doc_id", "item_id", start.alias("start"), F.size("item").alias("n"), F.slice("h", start + skipped + 1, length).alias("ours"), F.slice("item", skipped + 1, length).alias("theirs"))
-    beside = hits.groupBy("doc_id", "item_id", "start").agg(*[F.first(c).alias(c) for c in ("n", "ours", "theirs")])
+    hits = hits.select("doc_id", "mark", "item_id", F.xxhash64("item").alias("item_mark"), start.alias("start"), F.size("item").alias("n"), F.slice("h", start + skipped + 1, length).alias("ours"), F.slice("item", skipped + 1, length).alias("theirs"))
+    beside = hits.groupBy("doc_id", "mark", "item_id", "item_mark", "start").agg(*[F.first(c).alias(c) for c in ("n", "ours", "theirs")])
     beside = beside.withColumn("same", F.zip_with("ours", "theirs", lambda a, b: (a == b).cast("int")))
 
     def agreeing(part: Column) -> Column:
@@ -89,20 +92,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, item_share: float = 0.6, nea
     return (
         beside.withColumn("agree", agreeing(F.col("same")))
         .where((F.col("agree") >= item_share * F.col("n")) | (run >= near))
-        .select("doc_id", "item_id", "agree", (F.col("agree") / F.col("n")).alias("share"))
+        .select("doc_id", "mark", "item_id", "agree", (F.col("agree") / F.col("n")).alias("share"))
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Per row of ``docs``: doc_id, contaminated, and how many items it holds, with the best of them."""
     best = F.max(F.struct("share", "agree", (-F.col("item_id")).alias("item")))
-    found = overlaps(docs, benchmark, key=key, **how).groupBy("doc_id").agg(best.alias("best"), F.count_distinct("item_id").alias("n_items"))
-    found = found.select(F.col("doc_id").alias("__id"), "best", "n_items")
-    out = docs.select(F.col(key).alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    found = overlaps(docs, benchmark, key=key, text=text, **how).groupBy("doc_id", "mark").agg(best.alias("best"), F.count_distinct("item_id").alias("n_items"))
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("mark").alias("found_mark"), "best", "n_items")
+    out = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark")).join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark")), "left")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), (-F.col("best.item")).alias("item_id"), F.coalesce("best.agree", F.lit(0)).alias("agree"), F.coalesce("best.share", F.lit(0.0)).alias("share"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, unchanged."""
-    found = overlaps(docs, benchmark, key=key, text=text).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col(key).eqNullSafe(F.col("__id")), "left_anti")
+    at, mark = fresh_name(docs, "found_id"), fresh_name(docs, "found_mark")
+    found = overlaps(docs, benchmark, key=key, text=text).select(F.col("doc_id").alias(at), F.col("mark").alias(mark)).distinct()
+    return docs.join(found, F.col(key).eqNullSafe(F.col(at)) & (F.xxhash64(F.col(text)) == F.col(mark)), "left_anti")

@@ -9,7 +9,9 @@ and readable by any image library. Only digests are shuffled; stored bytes are r
 
 Cases: a null or empty page is an empty sequence; unclosed and stray tags are tolerated, script and style
 are skipped; a reference without a stored media keeps its row with null payload columns; a reference that
-occurs again keeps each position; media stored several times resolve once; a null text is an empty one.
+occurs again keeps each position; media stored several times resolve once; a null text is an empty one, a text of any length is
+stored whole; equal texts have equal media; rows that share an id keep a row each; an empty table stays empty; columns of the
+input that are named like the sequence, position, caption or digest are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import stage, utf8
+from skein.llm.common import fresh_name, stage, utf8
 
 WIDTH = 192
 SCHEME = "media:"
@@ -124,8 +126,9 @@ def resolve(df: DataFrame, media: DataFrame, sequence: str = "sequence") -> Data
     ``media`` has one row a digest. References of a very common digest are split by adaptive execution:
     both sides are plain exchanges.
     """
-    refs = df.withColumn("__m", F.explode(F.filter(sequence, lambda x: x["ref"].isNotNull()))).drop(sequence)
-    refs = refs.withColumns({"position": F.col("__m.position"), "caption": F.col("__m.caption"), "digest": F.regexp_replace("__m.ref", f"^{SCHEME}", "")}).drop("__m")
+    m = fresh_name(df, "media_of")
+    refs = df.withColumn(m, F.explode(F.filter(sequence, lambda x: x["ref"].isNotNull()))).drop(sequence)
+    refs = refs.withColumns({"position": F.col(m)["position"], "caption": F.col(m)["caption"], "digest": F.regexp_replace(F.col(m)["ref"], f"^{SCHEME}", "")}).drop(m)
     return refs.join(media, "digest", "left")
 
 

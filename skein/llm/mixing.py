@@ -9,8 +9,9 @@ cumulative demand reaches c. Range-sorting copies by that time gives the trainin
 
 Cases: null texts have size 0; documents without words take nothing but are placed if their turn comes
 before the target; a null source is a source, the last one; repeated ids are mixed as rows of their
-own; the last copy of a source may be cut inside (``words`` tells), so that taken words meet the
-target exactly but for rounding; an empty table stays empty. The number of sources is a matter of
+own; a text of any length counts whole; ids that hash alike go by id and size; the last copy of a source may be cut inside
+(``words`` tells), so that taken words meet the target exactly but for rounding; an empty table stays empty; extra columns
+don't matter, whatever their names. The number of sources is a matter of
 configuration (each has a schedule): beyond ``MAX_SOURCES`` the operator raises.
 """
 
@@ -130,13 +131,13 @@ def mixed_order(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     """
     copies = plan_mix(df, key=key, text=text, source=source, **how)
     whole = F.filter("copies", lambda c: 2 * c["words"] >= F.col("size"))
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.explode(whole).alias("__c"))
-    turns = copies.groupBy("__id", "__s", "__n").agg(F.array_sort(F.collect_list("__c.position")).alias("__turns"))
+    copies = copies.select(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("size").alias("n"), F.explode(whole).alias("c"))
+    turns = copies.groupBy("id", "s", "n").agg(F.array_sort(F.collect_list("c.position")).alias("turns"))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = df.withColumns({"__id": F.col(key), "__s": F.col(source), "__n": size})
-    same = Window.partitionBy("__id", "__s", "__n")
-    joined = rows.alias("d").join(turns.alias("t"), F.col("d.__id").eqNullSafe(F.col("t.__id")) & F.col("d.__s").eqNullSafe(F.col("t.__s")) & (F.col("d.__n") == F.col("t.__n")))
+    rows = df.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.col(source).alias("s"), size.alias("n"))  # names of df can't clash inside
+    same = Window.partitionBy("id", "s", "n")
+    joined = rows.alias("d").join(turns.alias("t"), F.col("d.id").eqNullSafe(F.col("t.id")) & F.col("d.s").eqNullSafe(F.col("t.s")) & (F.col("d.n") == F.col("t.n")))
     # rows that can't be told apart deal their turns among themselves
-    dealt = joined.select("d.*", "t.__turns").withColumns({"__of": F.count("*").over(same), "__nth": F.row_number().over(same.orderBy("__n"))})
-    own = F.filter("__turns", lambda x, i: i % F.col("__of") == F.col("__nth") - 1)
-    return dealt.withColumn("__at", F.explode(own)).orderBy("__at", "__id").drop("__id", "__s", "__n", "__at", "__turns", "__of", "__nth")
+    dealt = joined.select("d.*", "t.turns").withColumns({"of": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("n"))})
+    own = F.filter("turns", lambda x, i: i % F.col("of") == F.col("nth") - 1)
+    return dealt.withColumn("at", F.explode(own)).orderBy("at", "id").select("row.*")

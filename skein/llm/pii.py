@@ -8,7 +8,8 @@ Kinds: email, ip, card, phone (the base, by fixed rules), then url, address, acc
 
 Cases: a null or empty text has no spans; offsets are code points, ends exclusive; spans of one kind never
 overlap, spans of different kinds may; a candidate that fails its check is dropped and not tried again
-from inside; repeated rows give equal results; other columns are kept.
+from inside; repeated rows give equal results, a row each; a null id is an id; a text of any length is scanned whole; an empty table
+stays empty; ``scan_pii`` returns its own columns only, whatever others there are; ``redact`` keeps all, and a null text stays null.
 """
 
 from __future__ import annotations

@@ -8,9 +8,11 @@ Features are present or absent: the distinct lower-cased words of the whole text
 style ratios, all hashed into one space. The model is fitted on at most ``sample`` rated documents, those
 with the least hash of their id; scoring covers every document and is one map.
 
-Cases: a null text is an empty one, which has style features only; null or out-of-range grades are
-not ratings; of several ratings of one id the lowest counts; without ratings, or with one grade only,
-no model can be fitted: every probability is null and everything is kept.
+Cases: a null text is an empty one, which has style features only; a text of any length counts whole; null or out-of-range grades are
+not ratings; of several ratings of one id the lowest counts, and of several texts of one id the one of least features;
+equal texts get equal grades, a row each; a null id is never rated, but graded; of ids that hash alike the lesser is sampled first;
+without ratings, or with one grade only, no model can be fitted: every probability is null and everything is kept; an empty
+table stays empty; input columns named like an output column are replaced by it, others stay.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import utf8
+from skein.llm.common import fresh_name, utf8
 
 DIMENSIONS = 1 << 18
 #: Rated documents to fit on at most.
@@ -151,8 +153,9 @@ def grade_columns(text: Column, model: GradeModel | None, wanted: int) -> Column
 
 def grade_documents(df: DataFrame, model: GradeModel | None, wanted: int, least: float = 0.5, text: str = "text") -> DataFrame:
     """``df`` with expected_grade, tail_probability and keep (tail_probability at least ``least``)."""
-    out = df.withColumn("__g", grade_columns(F.col(text), model, wanted))
-    return out.withColumns({"expected_grade": F.col("__g.expected_grade"), "tail_probability": F.col("__g.tail_probability"), "keep": F.coalesce(F.col("__g.tail_probability") >= least, F.lit(True))}).drop("__g")
+    g = fresh_name(df, "graded")
+    out = df.withColumn(g, grade_columns(F.col(text), model, wanted))
+    return out.withColumns({"expected_grade": F.col(g)["expected_grade"], "tail_probability": F.col(g)["tail_probability"], "keep": F.coalesce(F.col(g)["tail_probability"] >= least, F.lit(True))}).drop(g)
 
 
 def label_grades(labels: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ Decoded bytes that are not UTF-8 are read as latin-1.
 
 Cases: a null or empty text has no spans; offsets are code points of the root, ends exclusive; what can't
 be decoded is left as it is; equal findings from several layers with one span and kind count once;
-repeated rows give equal results; other columns are kept.
+repeated rows give equal results, a row each; a null id is an id; a text of any length is scanned whole; of findings at one place the
+kinds stand in the order of BASE, then by name; an empty table stays empty; ``scan_secrets`` returns its own columns only, whatever
+others there are.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ shard count, so there is no ring table, shard counts are even, and adding a shar
 just the 1/(n+1) of the keys whose chain reaches it.
 
 Cases: a null key counts as one fixed key; repeated keys share a shard and get slots of their own;
-equal rows get equal columns but for the slot; a null or empty text has size 8; an empty table stays
-empty; input columns named like an output column are replaced by it.
+equal rows get equal columns but for the slot; a null or empty text has size 8, a text of any length that of its bytes; of rows whose
+keys mix alike the one of least id, size and checksum comes first; an empty table stays empty; input columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import BROADCAST_ROWS, bits_for, stage
+from skein.llm.common import BROADCAST_ROWS, bits_for, fresh_name, stage
 
 #: Key of a row whose key is null.
 NULL_KEY = 0x6E756C6C
@@ -68,8 +68,8 @@ def place(key: Column, shards: int) -> Column:
 
 def assign_shards(df: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
     """``df`` with ``shard`` and ``grown_shard`` (with one shard more): one map, no shuffle."""
-    p = place(key_column(df, key), shards)
-    return df.withColumn("__p", p).withColumns({"shard": F.col("__p.shard"), "grown_shard": F.col("__p.grown_shard")}).drop("__p")
+    p = fresh_name(df, "placed")
+    return df.withColumn(p, place(key_column(df, key), shards)).withColumns({"shard": F.col(p)["shard"], "grown_shard": F.col(p)["grown_shard"]}).drop(p)
 
 
 def shard_slots(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:

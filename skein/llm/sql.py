@@ -29,23 +29,19 @@ SELECT doc_id, size, ssize AS source_size, target, (w1 + w2)::BIGINT AS taken,
 FROM q
 """
 
-#: Masked words as text instead of hashes; otherwise the operator's rule word for word.
+#: Every item laid along every document at every place, by counting equal words on each diagonal: no seeds, no masks.
 _OP9 = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-m AS (SELECT unnest([[1, 2, 4, 6, 9, 11], [1, 3, 4, 7, 8, 10]]) AS mask),
-tp AS (SELECT rid, doc_id, w, unnest(range(0, len(w) - 9)) AS at0 FROM t WHERE len(w) >= 10),
-bp AS (SELECT item_id, w, unnest(range(0, len(w) - 9)) AS at0 FROM b WHERE len(w) >= 11),
-ts AS (SELECT rid, doc_id, w, at0, mask, list_transform(mask, lambda o: w[at0 + o]) AS seed FROM tp, m WHERE at0 + mask[6] <= len(w)),
-bs AS (SELECT item_id, w, at0, mask, list_transform(mask, lambda o: w[at0 + o]) AS seed FROM bp, m WHERE at0 + mask[6] <= len(w)
-  UNION ALL SELECT item_id, w, 0, range(1, len(w) + 1), w FROM b WHERE len(w) BETWEEN 1 AND 10),
-hits AS (SELECT DISTINCT ts.rid, ts.doc_id, bs.item_id, ts.at0 - bs.at0 AS s, ts.w AS dw, bs.w AS iw FROM ts JOIN bs ON ts.mask = bs.mask AND ts.seed = bs.seed),
-beside AS (SELECT *, list_transform(range(greatest(0, -s), least(len(iw), len(dw) - s)), lambda j: (dw[s + j + 1] = iw[j + 1])::INT) AS eq FROM hits),
-scored AS (SELECT *, list_sum(eq)::INT AS agree, list_max(list_transform(range(1, greatest(1, len(eq) - 12) + 1), lambda i: list_sum(eq[i : i + 12]))) AS run FROM beside),
-ok AS (SELECT doc_id, item_id, agree, agree / len(iw) AS share FROM scored WHERE agree >= 0.6 * len(iw) OR run >= 11),
-best AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max({'share': share, 'agree': agree, 'item': -item_id}) AS best FROM ok GROUP BY doc_id)
-SELECT d.doc_id, best.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, -best.item AS item_id, coalesce(best.agree, 0)::INT AS agree, coalesce(best.share, 0.0)::DOUBLE AS share
-FROM documents d LEFT JOIN best ON d.doc_id IS NOT DISTINCT FROM best.doc_id
+tw AS (SELECT rid, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM t),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM b),
+equal AS (SELECT tw.rid, bw.item_id, bw.n, tw.pos - bw.pos AS s, bw.pos AS ip FROM tw JOIN bw ON tw.word = bw.word),
+likely AS MATERIALIZED (SELECT rid, item_id, n, s, count(*) AS agree FROM equal GROUP BY rid, item_id, n, s HAVING count(*) >= least(0.6 * n, 11)),
+runs AS (SELECT rid, item_id, s, max(k) AS run FROM (SELECT e.rid, e.item_id, e.s, count(*) OVER (PARTITION BY e.rid, e.item_id, e.s ORDER BY e.ip RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM equal e SEMI JOIN likely l ON l.rid = e.rid AND l.item_id = e.item_id AND l.s = e.s) GROUP BY rid, item_id, s),
+ok AS (SELECT rid, item_id, agree, agree / n AS share FROM likely JOIN runs USING (rid, item_id, s) WHERE agree >= 0.6 * n OR run >= 11),
+best AS (SELECT rid, count(DISTINCT item_id) AS n_items, max({'share': share, 'agree': agree, 'item': -item_id}) AS best FROM ok GROUP BY rid)
+SELECT t.doc_id, best.rid IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, -best.item AS item_id, coalesce(best.agree, 0)::INT AS agree, coalesce(best.share, 0.0)::DOUBLE AS share
+FROM t LEFT JOIN best USING (rid)
 """
 
 SQL = {"op9_spaced_seed_decontamination": _OP9, "op8_curriculum_mix": _OP8}
