@@ -385,10 +385,12 @@ def covered(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def with_passages(rows: DataFrame) -> DataFrame:
-    """(mark) of the texts that share a looked-up run of words with a different text, from ``rows`` of scan()."""
-    found = rows.select("mark", F.explode("grams").alias("gram"))
-    twice = found.groupBy("gram").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("gram")
-    return found.join(twice, "gram", "left_semi").select("mark").distinct()
+    """(mark) of the texts that share a looked-up run of words with a different text, from ``rows`` of scan(); numbers stand for marks meanwhile."""
+    named = rows.where(F.size("grams") > 0).select("mark", "grams").withColumn("m", F.xxhash64("mark"))
+    found = named.select("m", F.explode("grams").alias("gram"))
+    twice = found.groupBy("gram").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo <> hi").select("gram")
+    told = found.join(twice, "gram", "left_semi").select("m").distinct()
+    return named.join(told, "m", "left_semi").select("mark").distinct()
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
