@@ -13,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.text import header_slug, type_or_untyped
 from skein.operators import common_subgraph as mcs
 from skein.operators import graph as g
 from skein.operators import patterns as pt
@@ -127,7 +128,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:  # noqa: C901, PLR0
     if a.command == "sample":
         for name, e in graphs.items():
             for size in a.sizes:
-                out.write_pattern(sampled(e, a.strategy, size, a.seed), f"{a.out}/{name}.n{size}.s{a.seed}")
+                out.write_pattern(sampled(e, a.strategy, size, a.seed), f"{a.out}/{name}.n{size}.s{a.seed}", a.reuse)
     elif a.command == "pairwise":
         best, checked = pairwise(graphs, a.strategy, a.sizes, a.jobs, a.branches)
         _write(best, f"{a.out}/mappings")
@@ -157,7 +158,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:  # noqa: C901, PLR0
         for name, e in graphs.items():
             part = components(e).groupBy("component").agg(F.count("*").alias("size")).select(F.lit(name).alias("graph"), "component", "size")
             sizes = part if sizes is None else sizes.unionByName(part)
-        _write(pt.component_pairs(stage(sizes, "sizes"), a.least, a.gib), f"{a.out}/jobs")
+        jobs = stage(pt.component_pairs(stage(sizes, "sizes"), a.least, a.gib), "jobs")
+        _write(jobs, f"{a.out}/jobs")
+        if not a.dry_run:
+            members = None
+            for name, e in graphs.items():
+                part = components(e).select(F.lit(name).alias("graph"), "component", "node")
+                members = part if members is None else members.unionByName(part)
+            done = pt.solved_components(jobs, together(graphs), stage(members, "members"), a.branches)
+            _write(done.groupBy("job").agg(F.max("size").alias("size"), F.bool_and("complete").alias("complete"), F.max("error").alias("error")), f"{a.out}/matches")
     elif a.command == "many":
         if a.max_nodes and max(g.nodes_of(e).count() for e in graphs.values()) > a.max_nodes:
             raise ValueError(f"a graph has more than {a.max_nodes} nodes")
@@ -174,6 +183,32 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:  # noqa: C901, PLR0
         rows = stage(strong.component_features(e, labels), "features")
         _write(rows, f"{a.out}/features")
         _write(strong.node_roles(labels, rows).select("node", "component", "role", "dag_level"), f"{a.out}/roles")
+    elif a.command == "outdegree":
+        nodes = read_node_list(spark, a.nodes) if a.nodes else g.nodes_of(first)
+        types = spark.read.option("header", True).csv(a.table).select(F.col("node").cast("bigint").alias("node"), "type")
+        counted = g.induced(first, nodes).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+        rows = nodes.join(counted, "node", "left").join(types, "node", "left").select(type_or_untyped(F.col("type")).alias("cell_type"), F.coalesce("n", F.lit(0)).alias("od"))
+        per = rows.groupBy("cell_type").agg(F.count("*").alias("cells"), F.bround(F.avg("od"), 4).alias("avg_outdegree"), F.median("od").alias("median_outdegree"), F.max("od").alias("max_outdegree"), F.sum("od").alias("total_outdegree"))
+        _write(per, f"{a.out}/types")
+        order = [F.desc("avg_outdegree"), F.desc("cells"), "cell_type"]
+        lines_of.write_lines(spark.createDataFrame([(out.markdown(per.where(F.col("cells") >= a.least), order),)], "value string"), f"{a.out}/report.md")
+    elif a.command == "modules":
+        modules = spark.read.option("header", True).csv(a.table).select("module", "graph", F.col("node").cast("bigint").alias("node"))
+        known = spark.read.option("header", True).csv(a.mapping).withColumn("node", F.col("node").cast("bigint"))
+        rows = spark.read.option("header", True).csv(a.nodes).select("graph", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), F.col("syn_count").try_cast("bigint").alias("syn_count"), "neuropil", "nt_type")
+        fields = [c for c in known.columns if c != "node"]
+        done = summary.characterised(modules, rows, known.toDF(*[c if c == "node" else header_slug(c) for c in known.columns]), [header_slug(c) for c in fields])
+        _write(done, f"{a.out}/modules")
+    elif a.command == "revalidate":
+        rows, pairs, index, e = (spark.read.option("header", True).csv(x) for x in (a.table, a.mapping, a.nodes, a.edges))
+        whole = lambda df, *names: df.withColumns({n: F.col(n).cast("bigint") for n in names})
+        _write(v.revalidate(rows, whole(pairs, "pos", "li", "ri"), whole(index, "idx", "node"), whole(e, "src", "dst")), f"{a.out}/revalidated")
+    elif a.command == "runs":
+        runs = [(p.rstrip("/").rsplit("/", 1)[-1], files.run_bundle(spark, p, {"rows": "detail"})["rows"].drop("run_name")) for p in a.runs]
+        rows = stage(out.joined_runs(runs), "runs")
+        _write(rows, f"{a.out}/combined_all_rows")
+        _write(rows.where("isomorphic = 'true'"), f"{a.out}/combined_isomorphic_rows")
+        _write(summary.metric_stats(rows.where("isomorphic = 'true'"), ["nodes", "a_edges", "a_weak_components", "a_largest_weak"], "run_name"), f"{a.out}/run_summary")
     elif a.command == "report":
         rows = g.total_degree(first).groupBy("degree").agg(F.count("*").alias("nodes"))
         lines_of.write_lines(spark.createDataFrame([(out.markdown(rows, [F.desc("nodes"), "degree"]),)], "value string"), f"{a.out}/report.md")
@@ -187,7 +222,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:  # noqa: C901, PLR0
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="skein", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
-    names = ["sample", "pairwise", "triplet", "threeway", "verify", "weak", "strong", "component-pairs", "many", "patterns", "independent-set", "hubs", "report", "smoke"]
+    names = ["sample", "pairwise", "triplet", "threeway", "verify", "weak", "strong", "component-pairs", "many", "patterns", "independent-set", "hubs", "outdegree", "modules", "revalidate", "runs", "report", "smoke"]
     for name in names:
         p = sub.add_parser(name)
         p.add_argument("graphs", nargs="*")
@@ -200,6 +235,10 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--mapping", default="")
         p.add_argument("--sides", type=int, default=2)
         p.add_argument("--nodes", default="")
+        p.add_argument("--table", default="")
+        p.add_argument("--edges", default="")
+        p.add_argument("--runs", nargs="*", default=[])
+        p.add_argument("--reuse", action="store_true")
         p.add_argument("--least", type=int, default=141)
         p.add_argument("--gib", type=float, default=24.0)
         p.add_argument("--max-nodes", type=int, default=0)

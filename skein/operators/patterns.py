@@ -123,6 +123,19 @@ def edgeless_match(sets: DataFrame) -> DataFrame:
     return numbered(sets.select("graph", "node"), ["graph"], ["node"], "pos").join(F.broadcast(common)).where(F.col("pos") < F.col("least")).select("pos", "graph", "node")
 
 
+def solved_components(jobs: DataFrame, edges: DataFrame, members: DataFrame, branches: int) -> DataFrame:
+    """Incumbents of the ready jobs of component_pairs: each side's induced edges, from edges (graph, src, dst) and members (graph, component, node), become one row."""
+    from skein.operators.common_subgraph import solve_jobs
+
+    e = edges.where("src <> dst").select("graph", "src", "dst").distinct()
+    sides = e.join(members.select("graph", "component", F.col("node").alias("src")), ["graph", "src"])
+    lists = sides.groupBy("graph", "component").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("edges"))
+    l, r = (lists.select(F.col("graph").alias(f"{s}_graph"), F.col("component").alias(f"{s}_component"), F.col("edges").alias(f"{s}_edges")) for s in ("left", "right"))
+    met = jobs.where("status = 'ready'").join(l, ["left_graph", "left_component"]).join(r, ["right_graph", "right_component"])
+    name = F.concat(F.col("left_graph"), F.lit("_wcc"), F.col("left_component"), F.lit("__"), F.col("right_graph"), F.lit("_wcc"), F.col("right_component"))
+    return solve_jobs(met.select(name.alias("job"), "left_edges", "right_edges"), branches)
+
+
 def component_pairs(sizes: DataFrame, least: int, gib: float) -> DataFrame:
     """Jobs between components (graph, component, size) of two graphs, both of ``least`` nodes or more; status tells which a dense solver would skip."""
     from skein.functions.text import dense_gib

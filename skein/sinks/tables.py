@@ -66,8 +66,16 @@ def network(edges: DataFrame, attributes: DataFrame) -> tuple[DataFrame, DataFra
     return nodes.withColumnRenamed("node", "id"), e.select(F.col("src").alias("from"), F.col("dst").alias("to"))
 
 
-def write_pattern(edges: DataFrame, path: str) -> None:
-    """A pattern's edges as CSV, its DIMACS lines and its index map, in one folder."""
+def there(spark, path: str) -> bool:
+    """Whether a writer has finished a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_pattern(edges: DataFrame, path: str, reuse: bool = False) -> None:
+    """A sample's or pattern's edges as CSV, its DIMACS lines and its index map, in one folder; what is there already stays if ``reuse``."""
+    if reuse and there(edges.sparkSession, f"{path}/map.csv"):
+        return
     lines, index = dimacs_lines(edges)
     edges.select(F.col("src").alias("source neuron id"), F.col("dst").alias("target neuron id")).write.mode("errorifexists").option("header", True).csv(f"{path}/edges.csv")
     write_lines(lines, f"{path}/pattern.dimacs")
