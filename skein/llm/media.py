@@ -24,7 +24,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import fresh_name, stage, utf8
@@ -156,8 +156,20 @@ def feature(samples: np.ndarray) -> str:
     return f"{total / n:.4f} {max(0.0, square / n - (total / n) ** 2):.4f} {mark:016x}"
 
 
+def page(stored: DataFrame) -> Column:
+    """HTML of a stored text: its lines as paragraphs, and after the first one a figure that refers to the media by digest. Nothing of it is stored."""
+    payload = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / WIDTH)) * WIDTH
+    text = F.decode(F.substring(stored["media"], (F.length("media") - payload + 1).cast("int"), F.col("n_bytes").cast("int")), "UTF-8")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    figure = F.concat(F.lit("<figure><img alt='samples' src='" + SCHEME), F.col("digest"), F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
+    whole = F.concat(F.slice(lines, 1, 1), F.array(figure), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))))
+    return F.concat(F.lit("<article>"), F.array_join(whole, ""), F.lit("</article>"))
+
+
 def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A stored table of every row's media, with an HTML page that refers to it by digest."""
+    """A stored table of every row's media, with an HTML page of the text that refers to it by digest, made as it is read."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,8 +181,8 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("doc_id"), utf8(F.col(text)).alias("text")).mapInArrow(packed, f"doc_id {kind}, n_bytes long, digest string, media binary")
-    page = F.concat(F.lit("<article><figure><img alt='samples' src='" + SCHEME), F.col("digest"), F.lit("'><figcaption>"), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    return stage(rows.withColumn("html", page), "media")
+    stored = stage(rows, "media")
+    return stored.withColumn("html", page(stored))
 
 
 def read_back(stored: DataFrame) -> DataFrame:

@@ -122,6 +122,12 @@ def test_sequences_of_a_page(spark):
     seq = {r.doc_id: r.sequence for r in media.interleave(df, "html").collect()}
     assert [(x.position, x.kind, x.text or x.ref, x.caption) for x in seq[1]] == [(0, "text", "one", None), (1, "image", "media:aa", "both of them"), (2, "image", "media:bb", "both of them"), (3, "text", "two", None), (4, "image", "media:aa", "again"), (5, "text", "three", None)]
     assert seq[2] == seq[3] == []
+    texts = spark.createDataFrame([(1, "first & <b>line</b>\n\nsecond"), (2, None), (3, "one")], "doc_id long, text string")
+    stored = media.store(texts)
+    seq = {r.doc_id: r for r in media.interleave(stored, "html").collect()}
+    assert [(x.kind, x.text or x.ref, x.caption) for x in seq[1].sequence] == [("text", "first & <b>line</b>", None), ("image", "media:" + seq[1].digest, f"{seq[1].n_bytes} bytes"), ("text", "second", None)]
+    assert [x.kind for x in seq[2].sequence] == ["image"] and [x.kind for x in seq[3].sequence] == ["text", "image"]
+    assert {r.doc_id: r.position for r in media.resolve(media.interleave(stored.select("doc_id", "html"), "html"), media.read_back(stored)).collect()} == {1: 1, 2: 0, 3: 1}
 
 
 def jump(key, buckets):
