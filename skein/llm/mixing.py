@@ -90,7 +90,8 @@ def plan_mix(df: DataFrame, share_of_words: float = 1.5, most: int = 2, schedule
         F.col(key).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("ord"),
+        # rows without a key are spread by their texts, so that no cut holds them all
+        F.md5(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("|"), F.coalesce(F.col(text), F.lit("")))).cast("binary")).alias("ord"),
     ).withColumn("s", F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("~")))
     slim = stage(slim, "mix")
     totals = slim.groupBy("s", "source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()

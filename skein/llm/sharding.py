@@ -13,15 +13,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import BROADCAST_ROWS, bits_for, fresh_name, stage
+from skein.llm.common import fresh_name
+from skein.plans.numbering import numbered
 
 #: Key of a row whose key is null.
 NULL_KEY = 0x6E756C6C
-ROWS_PER_BUCKET = 20_000
 
 
 def mix64(keys: np.ndarray) -> np.ndarray:
@@ -75,8 +75,8 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
 def shard_slots(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Shard, size, checksum and a gapless slot for every row, in the order of the mixed key.
 
-    A shard may hold far more rows than a task should, so each is cut by leading bits of the mixed key:
-    counts of the cuts give their offsets, and rows are numbered within a cut only.
+    A shard, and a key (null, say), may hold far more rows than a task should, so rows are dealt by ranges of their whole order,
+    counted by range and shard, and numbered side by side.
     """
     k = F.col("key")
     rows = (
@@ -84,16 +84,5 @@ def shard_slots(df: DataFrame, shards: int, key: str = "doc_id", text: str = "te
         .select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), place(k, shards).alias("p"))
         .select("doc_id", "size", "text_crc32", "p.*")
     )
-    rows = stage(rows, "shards")
-    bits = bits_for(rows.count() // shards, ROWS_PER_BUCKET)
-    rows = rows.withColumn("cut", F.shiftright("ord", 63 - bits))
-    cuts = rows.groupBy("shard", "cut").agg(F.count("*").alias("n"))
-    before = cuts.select("shard", "cut", (F.sum("n").over(Window.partitionBy("shard").orderBy("cut")) - F.col("n")).alias("before"))
-    if shards << bits <= BROADCAST_ROWS:
-        before = F.broadcast(before)
-    within = Window.partitionBy("shard", "cut").orderBy("ord", "doc_id", "size", "text_crc32")
-    return (
-        rows.withColumn("nth", F.row_number().over(within))
-        .join(before, ["shard", "cut"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard")
-    )
+    order = ["ord", "doc_id", "size", "text_crc32"]
+    return numbered(rows, ["shard"], order, "slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

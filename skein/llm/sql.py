@@ -3,7 +3,7 @@
 #: The weighting rule of the curriculum: targets by water level, documents laid end to end by the hash of the id.
 _OP8 = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS ord,
+  SELECT row_number() OVER () AS rid, doc_id, source, md5(coalesce(doc_id::VARCHAR, '|' || coalesce(text, ''))) AS ord,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS ssize FROM d GROUP BY source),
