@@ -9,7 +9,7 @@ driver, by their dense bigrams, while the likelihood grows. Then every other wor
 ``LEAST`` times or more moves to the class that gains most by its own neighbours: ``ROUNDS`` passes, in which all such
 words move at once against the same class table, while the likelihood grows; how many there are follows the corpus, and their neighbour counts stay a
 distributed table. Rarer words and those never seen have the class of their ending. The ``held`` most frequent words
-(17 bytes each) are sent to the executors with count and class; the others meet their count in a join, and have the class of their
+(14 bytes each) are sent to the executors with count and class; the others meet their count in a join, and have the class of their
 ending: that bound on memory is the only one.
 
 Transitions are smoothed towards class frequencies, emissions by adding 0.1 to each word of the class and to
@@ -45,7 +45,7 @@ ADD = 0.1
 #: The end token's hash.
 END = 0
 #: Training tokens whose neighbour counts meet in one task, about.
-PART_TOKENS = 2_000_000
+PART_TOKENS = 500_000
 #: Counted things that a task holds before it hands them on.
 FLUSH = 500_000
 
@@ -134,7 +134,7 @@ class _Sums:
             kinds, sums = kinds[first], np.add.reduceat(n, first) if len(first) else n
         self.parts.append((kinds, sums))
         self.size += len(kinds)
-        if self.size > 4 * FLUSH:
+        if self.size > 2 * FLUSH:
             self.merge()
 
     def merge(self) -> None:
@@ -230,7 +230,9 @@ class Lexicon:
 
     def __init__(self, word: np.ndarray, n: np.ndarray, group: np.ndarray, of_group: np.ndarray) -> None:
         order = np.argsort(word)
-        self.word, self.n, self.group, self.of_group = word[order], n[order], group[order], of_group
+        few = len(n) == 0 or int(n.max()) < 1 << 32
+        self.word, self.n, self.of_group = word[order], n[order].astype(np.uint32 if few else np.int64), of_group
+        self.group = group[order].astype(np.int16)
 
     def places(self, word: np.ndarray) -> np.ndarray:
         """Place of each word, -1 if it isn't held."""
@@ -377,8 +379,10 @@ def _moved(texts: DataFrame, lexicon: Lexicon, core: np.ndarray, classes: int, t
         for whole in batches:
             for _, some in _texts(whole, 0):
                 sums.add(beside(tokens_of(some)))
-                if sums.size > 2 * FLUSH:
-                    yield from out()
+                if sums.size > FLUSH:
+                    sums.merge()
+                    if sums.size > FLUSH:
+                        yield from out()
         yield from out()
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
