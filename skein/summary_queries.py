@@ -319,7 +319,9 @@ def splitmix(spark, d):
     return annotations(spark, d).select("node", hashing.splitmix64(F.col("node")).alias("mixed"))
 
 
-@query(None)
+@query("""SELECT node, CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END::BIGINT AS hash FROM (SELECT p_partkey::BIGINT AS node,
+list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(range(0, 8), lambda i: ((p_partkey::BIGINT >> (8 * i)::INT) & 255)::HUGEINT), list_transform(range(0, 8), lambda i: ((p_size::BIGINT >> (8 * i)::INT) & 255)::HUGEINT)),
+lambda a, b: (xor(a::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM part)""")
 def fnv_hash(spark, d):
     return annotations(spark, d).select("node", hashing.fnv1a(F.array("node", F.col("size").cast("long"))).alias("hash"))
 
