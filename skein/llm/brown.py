@@ -47,7 +47,7 @@ END = 0
 #: Training tokens whose neighbour counts meet in one task, about.
 PART_TOKENS = 500_000
 #: Counted things that a task holds before it hands them on.
-FLUSH = 250_000
+FLUSH = 500_000
 
 _U = np.uint64
 _BASE = 0xA24BAED4963EE407
