@@ -1,18 +1,21 @@
 """Node samples of bounded size and independent sets.
 
 Breadth-first samples go level by level: the queue's order is (place of the first parent, rank among its neighbours), so a level is
-one join with the frontier and a top-k. Frontier and sample are at most ``size`` rows, and ``size`` at most ``MOST``;
+one join with the frontier and a top-k. Where the first component ends before the sample is full, the sizes of the others tell at which
+place each begins, and their levels are taken together. Frontier and sample are at most ``size`` rows, and ``size`` at most ``MOST``;
 only they come to the driver. Of a node with more than 32 neighbours, the first 32 are shuffled by a hash of the seed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.components import components
 from skein.operators.graph import nodes_of, total_degree, without_loops
 from skein.plans.staging import stage
 
@@ -62,16 +65,22 @@ def lower_quantile(degrees: DataFrame, q: float) -> int:
 
 def bfs_sample(edges: DataFrame, size: int, order: list[Column], seed: int = 1, degrees: DataFrame | None = None) -> DataFrame:
     """(pos, node): the first ``size`` nodes of a breadth-first walk; starts and neighbours come in ``order``."""
-    spark = edges.sparkSession
-    degrees = _checked(total_degree(edges) if degrees is None else degrees, size)
+    spark, among = edges.sparkSession, degrees is not None
+    degrees = _checked(degrees if among else total_degree(edges), size)
     ranked = degrees.select("node", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("key"))
     ranked = stage(ranked, "ranked")
-    adjacent = stage(neighbours(edges), "adjacent")
+    adjacent = neighbours(edges)
+    if among:
+        adjacent = adjacent.join(ranked.select("node"), "node", "left_semi").join(ranked.select(F.col("node").alias("other")), "other", "left_semi").select("node", "other")
+    adjacent = stage(adjacent, "adjacent")
     taken: list[tuple[int, int]] = []
-    front: list[tuple[int, int]] = []
-    while len(taken) < size:
-        seen = spark.createDataFrame(taken, "pos long, node long")
-        if front:
+
+    def walk(front: list[tuple[int, int]]) -> None:
+        """Breadth-first from (pos, node) of components whose places follow each other, a level of all of them at a time."""
+        first, upto = [pos for pos, _ in front], [pos + 1 for pos, _ in front]
+        taken.extend(front)
+        while front and len(taken) < size:
+            seen = spark.createDataFrame(taken, "pos long, node long")
             at = spark.createDataFrame(front, "pos long, parent long")
             met = adjacent.join(F.broadcast(at), F.col("node") == F.col("parent")).select("pos", F.col("other").alias("node")).join(ranked, "node")
             head = met.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("key"))).where(F.col("r") <= HEAD)
@@ -79,13 +88,29 @@ def bfs_sample(edges: DataFrame, size: int, order: list[Column], seed: int = 1,
             head = head.join(many, "pos").select("pos", "node", F.xxhash64("node", "pos", F.lit(seed)).alias("h"))
             place = F.struct("pos", F.col("h").isNull().alias("tail"), F.coalesce("h", F.lit(0)).alias("h"), "key")
             fresh = met.join(head, ["pos", "node"], "left").withColumn("place", place).groupBy("node").agg(F.min("place").alias("place"))
-        else:
-            fresh = ranked.withColumnRenamed("key", "place")
-        room = size - len(taken) if front else 1
-        fresh = fresh.join(F.broadcast(seen.select("node")), "node", "left_anti").orderBy("place").limit(room)
-        front = [(len(taken) + i, r["node"]) for i, r in enumerate(fresh.collect())]
-        taken += front
-    return spark.createDataFrame(taken, "pos long, node long")
+            fresh = fresh.join(F.broadcast(seen.select("node")), "node", "left_anti").orderBy("place").limit(size - len(taken))
+            front = []
+            for r in fresh.select("place.pos", "node").collect():
+                of = bisect_right(first, r["pos"]) - 1
+                if upto[of] < size:  # only the last component may have more nodes than places
+                    front.append((upto[of], r["node"]))
+                    upto[of] += 1
+            taken.extend(front)
+            if upto[-1] == size:
+                front = [x for x in front if x[0] < first[-1]]
+
+    if size:
+        walk([(0, ranked.orderBy("key").first()["node"])])
+    if len(taken) < size:
+        rest = ranked.join(stage(components(adjacent, "node", "other"), "components"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        of = rest.groupBy("component").agg(F.min(F.struct("key", "node")).alias("start"), F.count("*").alias("n")).where(F.col("start.node") != taken[0][1])
+        starts, pos = [], len(taken)
+        for r in of.orderBy("start").limit(size - pos).select("start.node", "n").collect():
+            if pos < size:
+                starts.append((pos, r["node"]))
+                pos += r["n"]
+        walk(starts)
+    return spark.createDataFrame(sorted(taken), "pos long, node long")
 
 
 def first_nodes(edges: DataFrame, size: int, order: list[Column]) -> DataFrame:

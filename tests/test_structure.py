@@ -60,8 +60,8 @@ def test_levels_refuse_cycles(spark, monkeypatch, bound):
         strong.dag_levels(spark.createDataFrame([(1, 2), (2, 1), (0, 1)], E)).collect()
 
 
-def test_bfs_sample_is_the_queue_walk(spark):
-    edges = some_edges(60, 80, 2)
+def queue_walk(edges, key):
+    """All nodes in the order of a queue that starts anew, at the first node by ``key`` that is left, when it is empty."""
     near, degree = {}, {}
     for a, b in edges:
         for x, y in ((a, b), (b, a)):
@@ -69,18 +69,36 @@ def test_bfs_sample_is_the_queue_walk(spark):
             near.setdefault(x, set())
             if x != y:
                 near[x].add(y)
-    order = sorted(near, key=lambda n: (-degree[n], n))
     want, queue = [], deque()
-    for start in order:
+    for start in sorted(near, key=lambda n: key(degree[n], n)):
         if start in want:
             continue
         want.append(start)
         queue.append(start)
         while queue:
-            for y in sorted(near[queue.popleft()], key=lambda n: (-degree[n], n)):
+            for y in sorted(near[queue.popleft()], key=lambda n: key(degree[n], n)):
                 if y not in want:
                     want.append(y)
                     queue.append(y)
+    return want
+
+
+def test_bfs_sample_walks_component_after_component(spark):
+    edges = [e for i in range(12) for e in [(10 * i, 10 * i + 1), (10 * i + 1, 10 * i + 2), (10 * i + 3, 10 * i + 1)][: i % 3 + 1]]
+    edges += [(200, 200), (201, 201)]
+    want, df = queue_walk(edges, lambda d, n: (d, n)), spark.createDataFrame(edges, E)
+    for size in (1, 9, len(want) - 1, len(want)):
+        rows = sample.bfs_sample(df, size, sample.low_first()).orderBy("pos").collect()
+        assert [x.pos for x in rows] == list(range(size)) and [x.node for x in rows] == want[:size]
+    # nodes without a degree are not met, nor passed
+    some = g.total_degree(df).where("node <> 21")
+    got = [x.node for x in sample.bfs_sample(df, some.count(), sample.low_first(), degrees=some).orderBy("pos").collect()]
+    assert sorted(got) == sorted(n for n in want if n != 21)
+
+
+def test_bfs_sample_is_the_queue_walk(spark):
+    edges = some_edges(60, 80, 2)
+    want = near = queue_walk(edges, lambda d, n: (-d, n))
     df = spark.createDataFrame(edges, E)
     size = len(near) - 2
     got = [x.node for x in sample.bfs_sample(df, size, sample.high_first()).orderBy("pos").collect()]
