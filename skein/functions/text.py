@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,9 +54,22 @@ def ids_text(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
 
 
+def fixed(x: Column, digits: int = 6) -> Column:
+    """A double as text with ``digits`` decimals, like C's printf: its binary value is rounded, true halves to even.
+
+    Java rounds the decimals it shows of a double, and those may be a half where the double itself is above or below.
+    """
+
+    @F.arrow_udf("string")
+    def shown(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{digits}f}" for v in values.to_pylist()], pa.string())
+
+    return shown(x.cast("double"))
+
+
 def fixed_ratio(part: Column, whole: Column, digits: int = 6) -> Column:
-    """A ratio as text with ``digits`` decimals, halves to even; 0 of nothing."""
-    return F.format_string(f"%.{digits}f", F.bround(F.when(whole != 0, part / whole).otherwise(F.lit(0.0)), digits))
+    """A ratio as text with ``digits`` decimals; 0 of nothing, null of an unknown."""
+    return fixed(F.when(whole == 0, F.lit(0.0)).otherwise(part / whole), digits)
 
 
 def fold(part: Column, background: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from skein.functions import hashing
+from skein.functions import text as t
 from skein.operators import patterns as pt
 from skein.operators import verification as v
 from skein.plans.numbering import numbered
@@ -90,6 +91,13 @@ def test_hashes(spark):
     assert spark.range(1).select(hashing.fnv1a(F.array(F.lit(5).cast("long"), F.lit(9).cast("long")))).first()[0] % (1 << 64) == h
 
 
+def test_fixed_ratios_round_the_binary_value(spark):
+    halves = [(7, 640), (1, 80000), (31, 99200), (1, 400000), (1, 128), (3, 128), (2, 3), (-1, 80000), (1999999, 2000000), (5, 1)]
+    rows = spark.createDataFrame([*[(float(p), w) for p, w in halves], (2.0, 0), (1.0, None), (None, 3)], "part double, whole long")
+    got = rows.select(t.fixed_ratio(F.col("part"), F.col("whole")).alias("x")).collect()
+    assert [r.x for r in got] == [*[f"{p / w:.6f}" for p, w in halves], "0.000000", None, None]
+
+
 def test_page_tables_and_charts():
     nested = "<table><tr><td>a<table><tr><td>in</td></tr></table></td></tr></table>" + "<table><tr><th>x</th></tr></table>" * 8
     rows = pages.tables_of(nested)
